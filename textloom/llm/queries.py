@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality_gam, token_count
+from . import decontaminate, html_text, langid, maxscore, mixing, quality_gam, token_count
 from .sampling import remainder
 
 
@@ -24,6 +24,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -46,8 +54,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op8_language_id, op9_token_counts, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op4_top_k, op6_main_text, op8_language_id, op9_token_counts, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL}
+    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, maxscore, mixing, quality_gam, token_count
+from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, quality_gam, token_count
 from .sampling import remainder
 
 
@@ -28,6 +28,11 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decide(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -54,8 +59,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op4_top_k, op6_main_text, op8_language_id, op9_token_counts, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op4_top_k, op5_line_dedup, op6_main_text, op8_language_id, op9_token_counts, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL}
+    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL, "op5_line_dedup": line_dedup.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, quality_gam, token_count
+from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, quality_gam, token_count
 from .sampling import remainder
 
 
@@ -37,6 +37,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -59,8 +63,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op4_top_k, op5_line_dedup, op6_main_text, op8_language_id, op9_token_counts, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL, "op5_line_dedup": line_dedup.SQL, "op7_ngram_jaccard": ngram_join.SQL}

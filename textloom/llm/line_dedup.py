@@ -6,12 +6,11 @@ within one word inserted, deleted or replaced.  The variants of a line are the
 line itself and the line less one word; two lines within the bound share one,
 and sharing one at the same place (or as the whole line) is the proof.
 
-Long lines first emit coarser variants, so that only few lines emit one a word: their words
-fall into segments that end at words chosen by the word's own hash, and a variant lacks one
-segment or two adjacent ones.  An edit of one word touches no more than that on either side, so
-lines within the bound share such a variant too; only in runs that another line shares are
-words then left out one by one.  Variants too short to tell lines apart (under REST words) are
-replaced by those of single words at once.
+So that few lines emit a variant a word, all first emit coarser ones.  Words fall into four classes by
+their own hash; a coarse variant is the line less all words of two classes.  One word inserted, deleted or replaced
+touches two classes at most, so lines within the bound share a coarse variant whatever their length, and only in lines that share
+one with a different line are words, those of the two classes, left out one by one.  Coarse variants under REST words would
+tell few lines apart; such lines emit the variants of single words at once.
 
 Defined cases: lines without a word are never removed; a null text has no lines and stays null;
 an emptied document stays, with an empty text; equal ids are told apart by the hash of the text, and
@@ -25,23 +24,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
 from .storage import materialize
 
-MIN_WORDS, REST, FIRST_CLASS = 8, 4, 24
+MIN_WORDS, REST = 8, 3
 #: log2 of the bits that mark shared variants: 4 MB, whatever the input.
 BITMAP_BITS = 25
 U = np.uint64
-_NEWLINE = ragged.byte_class("\n\n")
+#: Pairs of the four word classes that a coarse variant keeps.
+KEPT = [(i, j) for i in range(4) for j in range(i)]
 
 
 class Lines:
     """Lines of a slice that have words: hashes and variants by array arithmetic."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, rank: np.ndarray):
+        """rank: place of each row in the order of documents."""
+        self.rank = rank
         data = ragged.LOWER[data]
         newline = np.flatnonzero(data == 10)
         starts, ends, first = ragged.spans(data, offs, ragged.SPACED)
@@ -71,52 +73,60 @@ class Lines:
             h = (self.total[a] - self.total[s]) * self._down[s] + (self.total[e] - self.total[b]) * self._down[s + b - a]
             return ragged.mix(h + (e - s - (b - a)).astype(U) * U(0xD1B54A32D192ED03))
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, a, b) of the runs of words that coarse variants lack; all words of short lines, one by one, are the caller's."""
-        out = []
-        longest = int(self.n.max(initial=0))
-        size = FIRST_CLASS
-        while size - 1 <= longest:
-            lines = np.flatnonzero((self.n >= size - 1) & (self.n < 2 * size))
-            if len(lines):
-                n = self.n[lines]
-                begin = np.cumsum(n) - n
-                at = np.arange(n.sum()) + np.repeat(self.first[lines] - begin, n)
-                owner = np.repeat(lines, n)
-                ends = (self.words[at] >> U(20)) % U(size // 3) == 0
-                ends[begin + n - 1] = True
-                stop = at[ends] + 1
-                owner = owner[ends]
-                start = np.where(np.concatenate([[True], owner[1:] != owner[:-1]]), self.first[owner], np.concatenate([[0], stop[:-1]]))
-                out.append((owner, start, stop))
-                pair = np.flatnonzero(owner[1:] == owner[:-1])
-                out.append((owner[pair], start[pair], stop[pair + 1]))
-            size *= 2
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def coarse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(line, a, b, key) of coarse variants; (line, a, b) of the runs whose words are left out one by one from the start."""
-        line, a, b = self.runs()
-        fine = self.n[line] - (b - a) < REST
-        with np.errstate(over="ignore"):
-            key = ragged.mix(self.without(line, a, b) + (a - self.first[line] + 1).astype(U) * U(0x8CB92BA72F3D8DD7))
-        short = np.flatnonzero((self.n >= MIN_WORDS) & (self.n < FIRST_CLASS))
-        one = np.concatenate([line[fine], short]), np.concatenate([a[fine], self.first[short]]), np.concatenate([b[fine], self.first[short] + self.n[short]])
-        return line[~fine], a[~fine], b[~fine], key[~fine], *one
-
-    def single(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, hash) of the lines less one word of the run, and of the whole lines at place -1; each once."""
-        n = b - a
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        owner = np.repeat(line, n)
-        _, once = np.unique(at, return_index=True)
-        at, owner = at[once], owner[once]
-        whole = np.unique(line)
+    def coarse(self, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key) of coarse variants of the first line of each content; two masks of words to leave out one by one.
+
+        The first mask has the words of lines of too short a coarse variant; the second, given the bitmap of shared keys, those that the lines'
+        shared variants lack.
+        """
+        lines, keys = [], []
+        short, lacking = np.zeros(len(self.words), bool), np.zeros(len(self.words), bool)
+        order = np.lexsort((self.number, self.rank[self.row]))
+        _, once = np.unique(self.full[order], return_index=True)
+        able = np.zeros(len(self.n), bool)
+        able[order[once]] = True
+        able &= self.n >= MIN_WORDS
+        long_word = np.repeat(able, self.n)
+        kind = (self.words >> U(40)) & U(3)
+        stop = self.first + self.n
+        for tag, (i, j) in enumerate(KEPT):
+            kept = (kind == U(i)) | (kind == U(j))
+            place = np.zeros(len(self.words) + 1, np.int64)
+            np.cumsum(kept, out=place[1:])
+            held = self.words[kept]
+            total = np.zeros(len(held) + 1, U)
+            with np.errstate(over="ignore"):
+                np.cumsum(held * self._up[: len(held)], dtype=U, out=total[1:])
+                s, e = place[self.first], place[stop]
+                key = ragged.mix((total[e] - total[s]) * self._down[s] + (e - s).astype(U) * U(0xD1B54A32D192ED03) + U(tag + 1))
+            enough = e - s >= REST
+            use = np.flatnonzero(able & enough)
+            lines.append(use)
+            keys.append(key[use])
+            short |= np.repeat(able & ~enough, self.n)
+            if shared is not None:
+                hit = np.zeros(len(self.n), bool)
+                hit[use[_shared(shared, key[use])]] = True
+                lacking |= np.repeat(hit, self.n) & ~kept
+        return np.concatenate(lines), np.concatenate(keys), short & long_word, lacking
+
+    def single(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, hash) of the lines less one of the words of a mask, and of the whole lines at place -1."""
+        at = np.flatnonzero(words)
+        owner = np.searchsorted(self.first, at, "right") - 1
+        whole = np.unique(owner)
         return np.concatenate([owner, whole]), np.concatenate([at - self.first[owner], np.full(len(whole), -1)]), np.concatenate([self.without(owner, at, at + 1), self.full[whole]])
 
 
+def _rank(rows: pa.RecordBatch) -> np.ndarray:
+    """Places of rows in the order of id, null first, and key."""
+    ids = rows.column(0)
+    order = np.lexsort((np.array(rows.column(1), np.int64), np.array(ids.fill_null(0), np.int64), np.array(ids.is_valid(), bool)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
+
+
 def _shared(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = key >> U(64 - BITMAP_BITS)
     return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
@@ -134,31 +144,30 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     longs = pa.list_(pa.int64())
-    noted = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("line", longs), ("h", longs), ("check", longs), ("vh", longs), ("v", longs)])
+    noted = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("line", longs), ("h", longs), ("check", longs), ("n_variants", longs), ("v", longs)])
 
     def note(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, z, data, offs in ragged.parts(b.column(2)):
-                x = Lines(data, offs)
-                line, _, _, key, *one = x.coarse()
-                owner, _, word_key = x.single(*one)
+                x = Lines(data, offs, _rank(b.slice(a, z - a)))
+                line, key, short, _ = x.coarse()
+                owner, _, word_key = x.single(short)
                 owner, key = np.concatenate([line, owner]), np.concatenate([key, word_key])
                 order = np.argsort(owner, kind="stable")
                 owner, key = owner[order], key[order]
                 texts = b.column(2)[a:z]
                 n_lines = ragged.row_sums((data == 10).astype(np.int64), offs) + np.array(texts.is_valid(), np.int64)
-                lists = _per_row(z - a, x.row, x.number, ragged.signed(x.full), ragged.signed(x.check))
-                variants = _per_row(z - a, x.row[owner], ragged.signed(x.full[owner]), ragged.signed(key))
-                yield ragged.batch(noted, b.column(0)[a:z], b.column(1)[a:z], n_lines, *lists, *variants)
+                lists = _per_row(z - a, x.row, x.number, ragged.signed(x.full), ragged.signed(x.check), np.bincount(owner, minlength=len(x.n)))
+                yield ragged.batch(noted, b.column(0)[a:z], b.column(1)[a:z], n_lines, *lists, *_per_row(z - a, x.row[owner], ragged.signed(key)))
 
-    sql = "doc_id long, key long, n_lines long, line array<long>, h array<long>, check array<long>, vh array<long>, v array<long>"
+    sql = "doc_id long, key long, n_lines long, line array<long>, h array<long>, check array<long>, n_variants array<long>, v array<long>"
     table = materialize(rows.mapInArrow(note, sql), "lines")
 
     pair = pa.schema([("v", pa.int64()), ("h", pa.int64())])
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield ragged.batch(pair, b.column(1).flatten(), b.column(0).flatten())
+            yield ragged.batch(pair, b.column(2).flatten(), np.repeat(np.array(b.column(0).flatten(), np.int64), np.array(b.column(1).flatten(), np.int64)))
 
     def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places in the bitmap of the variants that two different lines have."""
@@ -177,7 +186,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if len(at):
                 yield pa.record_batch([word[starts], np.bitwise_or.reduceat(bit, starts).view(np.int64)], names=["w", "b"])
 
-    marks = table.select("vh", "v").mapInArrow(unpack, "v long, h long").repartition("v").mapInArrow(repeated, "w long, b long")
+    marks = table.select("h", "n_variants", "v").mapInArrow(unpack, "v long, h long").repartition("v").mapInArrow(repeated, "w long, b long")
     got = marks.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # a row for each 64 bits of the bitmap at most
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bits[np.array(got.column("w"), np.int64)] = np.array(got.column("b"), np.int64)
@@ -187,24 +196,23 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, _, data, offs in ragged.parts(b.column(2)):
-                x = Lines(data, offs)
-                line, s, e, key, *one = x.coarse()
-                hit = _shared(shared.value, key)
-                owner, place, v = x.single(*one)
+            for a, z, data, offs in ragged.parts(b.column(2)):
+                x = Lines(data, offs, _rank(b.slice(a, z - a)))
+                _, _, short, lacking = x.coarse(shared.value)
+                owner, place, v = x.single(short & ~lacking)
                 keep = _shared(shared.value, v)
-                more, more_place, more_v = x.single(line[hit], s[hit], e[hit])
-                owner, place, v = np.concatenate([owner[keep], more]), np.concatenate([place[keep], more_place]), np.concatenate([v[keep], more_v])
+                more = x.single(lacking)
+                owner, place, v = (np.concatenate([p[keep], q]) for p, q in zip((owner, place, v), more, strict=True))
                 at = a + x.row[owner]
                 yield ragged.batch(fine, ragged.signed(v), place, b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), x.number[owner])
 
     order = F.struct("doc_id", "key", "line")
     near = rows.mapInArrow(spell, "v long, place int, doc_id long, key long, line long").withColumn("o", order)
-    near = materialize(near.groupBy("v", "place", "o").count().drop("count"), "variants")
-    firsts = near.groupBy("v", "place").agg(F.min("o").alias("first"))
-    by_variant = firsts.groupBy("v").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"))
-    firsts = firsts.join(by_variant, "v").select("v", "place", F.least("first", F.when(F.col("place") < 0, F.col("less")).otherwise(F.col("whole"))).alias("first"))
-    late = near.join(firsts, ["v", "place"]).filter(F.col("o") > F.col("first")).select("o.*")
+    near = near.select("v", "place", "o")
+    alike, same_place = Window.partitionBy("v"), Window.partitionBy("v", "place")
+    whole, less = F.min(F.when(F.col("place") < 0, F.col("o"))).over(alike), F.min(F.when(F.col("place") >= 0, F.col("o"))).over(alike)
+    first = F.least(F.min("o").over(same_place), F.when(F.col("place") < 0, less).otherwise(whole))
+    late = near.withColumn("first", first).filter(F.col("o") > F.col("first")).select("o.*").distinct()
 
     occurrences = table.select("doc_id", "key", F.explode(F.arrays_zip("line", "h", "check")).alias("x")).select("doc_id", "key", "x.*").withColumn("o", order)
     heads = occurrences.groupBy("h", "check").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter(F.col("first") != F.col("last")).drop("last")

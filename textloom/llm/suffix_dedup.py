@@ -29,13 +29,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
 from .storage import materialize
 
-LENGTH, WINDOW, GRAM, STARTS = 400, 256, 16, 32
+LENGTH, WINDOW, GRAM, STARTS = 400, 256, 16, 64
 BITMAP_BITS = 25
 LARGE = 2048
 #: Bytes whose suffixes a task sorts at once, whole groups at least.
@@ -106,7 +107,7 @@ class Text:
     """Windows of one text of at least `length` bytes."""
 
     def __init__(self, data: np.ndarray, length: int, window: int):
-        self.data, self.length, self.core = data, length, length - window + 1
+        self.data, self.length, self.core, self.starts = data, length, length - window + 1, min(STARTS, length // 2)
         self.up, self.down = ragged._power_tables(len(data) + 1)
         self.total = np.zeros(len(data) + 1, U)
         with np.errstate(over="ignore"):
@@ -130,17 +131,17 @@ class Text:
         """(first start, last start, inner core, hash of all bytes) of the blocks of some anchors' starts."""
         first, last, anchor = self.first[some], self.last[some], self.anchor[some]
         # cuts lie at fixed distances before the anchor, so that equal windows fall into blocks cut alike
-        most, least = (anchor - first) // STARTS, (anchor - last) // STARTS
+        most, least = (anchor - first) // self.starts, (anchor - last) // self.starts
         n = most - least + 1
         owner = np.repeat(np.arange(len(n)), n)
         back = np.repeat(most, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        a = np.maximum(anchor[owner] - (back + 1) * STARTS + 1, first[owner])
-        z = np.minimum(anchor[owner] - back * STARTS, last[owner])
-        near = anchor[owner] - back * STARTS  # latest and earliest start the block could have
+        a = np.maximum(anchor[owner] - (back + 1) * self.starts + 1, first[owner])
+        z = np.minimum(anchor[owner] - back * self.starts, last[owner])
+        near = anchor[owner] - back * self.starts  # latest and earliest start the block could have
         with np.errstate(over="ignore"):
             place = ragged.mix(back.astype(U) + U(1))
             # near may lie beyond the last start, but the inner core is inside every window of the block
-            inner = self.hash(near, np.minimum(near - STARTS + 1 + self.length, len(self.data))) ^ place
+            inner = self.hash(near, np.minimum(near - self.starts + 1 + self.length, len(self.data))) ^ place
             return a, z, inner, self.hash(a, z + self.length) ^ ragged.mix((near - a).astype(U) + U(3)) ^ place
 
 
@@ -323,18 +324,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 data, offs = ragged.flat(part.column(2))
-                spans, kept = [], []
-                for i, found in enumerate(part.column(3).to_pylist()):
-                    text = data[offs[i] : offs[i + 1]]
-                    covered = np.zeros(len(text) + 1, np.int32)
-                    for f in found:
-                        p = np.arange(f["n"]) if f["marks"] is None else np.unique(np.array(f["marks"], np.int64))
-                        np.add.at(covered, f["start"] + p, 1)
-                        np.add.at(covered, f["start"] + p + length, -1)
-                    gone = np.concatenate([[False], np.cumsum(covered)[:-1] > 0, [False]])
-                    edges = np.flatnonzero(gone[1:] != gone[:-1])
-                    spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
-                    kept.append(hashlib.sha256(text[~gone[1:-1]].tobytes()).hexdigest())
+                gone = _covered(part.column(3), offs, length)
+                first = np.zeros(len(gone) + 1, bool)
+                first[offs] = True
+                begins = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1]]) | gone & first[:-1])
+                ends = np.flatnonzero(gone & np.concatenate([~gone[1:], [True]]) | gone & first[1:]) + 1
+                cut = np.searchsorted(begins, offs)
+                spans = [[{"start": s, "end": e} for s, e in zip((begins[x:y] - o).tolist(), (ends[x:y] - o).tolist(), strict=True)] for x, y, o in zip(cut[:-1], cut[1:], offs[:-1], strict=True)]
+                kept = [hashlib.sha256(data[x:y][~gone[x:y]].tobytes()).hexdigest() for x, y in zip(offs[:-1], offs[1:], strict=True)]
                 yield ragged.batch(cut_schema, part.column(0), part.column(1), spans, kept)
 
     spans_type = "array<struct<start:bigint,end:bigint>>"
@@ -347,6 +344,20 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
     return out.select("doc_id", "key", "n_bytes", F.when(twin, everything).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {spans_type})"))).alias("spans"), F.when(twin, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
 
 
+def _covered(found: pa.Array, offs: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of some texts, laid end to end, lie in repeated windows; `found` lists each text's blocks (start, n, marks)."""
+    lists, blocks = np.asarray(found.offsets), found.flatten()
+    base = np.repeat(offs[:-1], np.diff(lists))
+    start, n, marks = np.array(blocks.field(0), np.int64) + base, np.array(blocks.field(1), np.int64), blocks.field(2)
+    whole = np.array(marks.is_null(), bool)
+    some = np.array(pa.compute.list_value_length(marks).fill_null(0), np.int64)
+    single = np.repeat(start, some) + np.array(marks.flatten(), np.int64)
+    opens = np.concatenate([start[whole], single])
+    closes = np.concatenate([start[whole] + n[whole] - 1 + length, single + length])
+    size = int(offs[-1])
+    return np.cumsum(np.bincount(opens, minlength=size + 1)[:size] - np.bincount(closes, minlength=size + 1)[:size]) > 0
+
+
 def _joined(produce, schema: pa.Schema, rows: int = 20_000):
     """The same batches, small ones put together."""
 

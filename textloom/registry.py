@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import page_plans, session_plans, table_plans, text_plans  # noqa: F401  they register themselves
+from .plans.catalog import QUERIES, SQL
+
 FLAGSHIP = "article_stats"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -6,11 +6,15 @@ sketch of fixed size over all documents, then by hash.  Two sets of Jaccard simi
 or more share a shingle among the first |x| - ceil(t |x|) + 1 of each, so sets that meet
 in a prefix shingle come together in a cluster, named by the smallest set of the shingle's group.
 
+Clusters of sets that could not reach the overlap are taken apart by counts of
+members in hash buckets: the smaller counts of two sets sum to no less than their overlap.
+
 Inside a cluster the ordered sets form a trie.  A set walks the trie once for all
 others: partial overlaps are counted once a shared path, and a subtree is left as
 soon as what remains of the set and of the longest member below cannot reach the overlap
 needed.  The cluster's first set walks first; sets it links need no walk of their own, the others walk too.
-Clusters beyond BLOCK sets are cut into blocks, each with the first set; then
+First every set joins only its smallest cluster, which links most of what is similar; then the clusters whose
+members are not all connected yet are gone through in full.  Clusters beyond BLOCK sets are cut into blocks, each with the first set; then
 the unlinked sets of every block walk the tries of all blocks, so no pair is missed and
 no task holds an unbounded cluster.
 
@@ -82,6 +86,26 @@ def need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _buckets(h: np.ndarray) -> np.ndarray:
+    """The size of a set, in 4 bytes, then how many members fall in each of a power of two of buckets; all 255 where a byte does not hold a count."""
+    size = 1 << max(6, (len(h) // 4).bit_length())
+    counts = np.bincount(((h >> U(16)) & U(size - 1)).astype(np.int64), minlength=size)
+    counts = np.minimum(counts, 255) if counts.max() < 255 else np.full(size, 255)
+    return np.concatenate([np.array([len(h)], "<u4").view(np.uint8), counts.astype(np.uint8)])
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    m, n = int(a[:4].view("<u4")[0]), int(b[:4].view("<u4")[0])
+    if 100 * min(m, n) < percent * max(m, n):
+        return False
+    x, y = a[4:], b[4:]
+    if (x == 255).any() or (y == 255).any():
+        return True
+    size = min(len(x), len(y))
+    x, y = (v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum()) >= need(m, n, percent)
+
+
 class Trie:
     """Radix trie of ordered sets; each edge keeps its run of members as an array."""
 
@@ -140,10 +164,12 @@ class Trie:
         return out
 
 
-def links_within(names: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+def links_within(names: list[int], sets: list[np.ndarray], percent: int, roots: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Links that connect what is similar among the sets, of which the first walks first; and the places of those that the first does not link."""
     trie = Trie(sets)
     group = list(range(len(sets)))
+    if roots is not None:  # what is connected already
+        group = [roots.index(r) for r in roots]
 
     def find(i: int) -> int:
         while group[i] != i:
@@ -162,7 +188,7 @@ def links_within(names: list[int], sets: list[np.ndarray], percent: int) -> tupl
 
     near = trie.similar(sets[0], percent)
     link(0, near)
-    left = sorted(set(range(1, len(sets))) - set(near))
+    left = [i for i in range(1, len(sets)) if i not in set(near) and find(i) != find(0)]
     for i in left:
         link(i, trie.similar(sets[i], percent))
     return out, left
@@ -228,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     levels = spark.sparkContext.broadcast(_levels(sketch))
     members = seen.filter("chunk IS NULL").drop("chunk", "counts")
 
-    two = pa.schema([("token", pa.int64()), ("name", pa.int64())])
+    two = pa.schema([("token", pa.int64()), ("name", pa.int64()), ("place", pa.int64())])
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -245,68 +271,172 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                     passed.clear()
                 take = np.where(fresh, n - -(-percent * n // 100) + 1, 0)
                 at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(offs[:-1], take)
-                yield ragged.batch(two, ragged.signed(h[at]), ragged.signed(np.repeat(raw, take)))
+                place = np.repeat(n << 32, take) + at - np.repeat(offs[:-1], take)
+                yield ragged.batch(two, ragged.signed(h[at]), ragged.signed(np.repeat(raw, take)), place)
 
     linked = pa.schema([("pivot", pa.int64()), ("name", pa.int64())])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.array(b.column(0), np.int64), np.array(b.column(1), np.int64)) for b in batches]
+        got = [tuple(np.array(c, np.int64) for c in b.columns) for b in batches]
         if not got:
             return
-        token, name = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((name, token))
-        token, name = token[order], name[order]
-        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        token, name, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((name, place >> 32, token))
+        token, name, place = token[order], name[order], place[order]
+        if len(token):  # the same set from several tasks
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])])
+            token, name, place = token[once], name[once], place[once]
+        n, at = place >> 32, place & 0xFFFFFFFF
+        # sizes ascend inside a group: where one is too small for the next, nothing before is similar to anything after
+        begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])) if len(token) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(begins, len(token)))
-        pivot = np.repeat(name[begins], sizes)
+        pivot = np.repeat(np.minimum.reduceat(name, begins), sizes) if len(begins) else name
+        two_only = begins[sizes == 2]
+        most = np.minimum(n - at, np.roll(n - at, -1))[two_only] + np.minimum(at, np.roll(at, -1))[two_only]
+        far = two_only[(100 + percent) * most < percent * (n[two_only] + n[two_only + 1])] if len(two_only) else two_only
+        pivot[far], pivot[far + 1] = name[far], name[far + 1]
         apart = pivot != name
         pairs = np.unique(np.stack([pivot[apart], name[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
         yield ragged.batch(linked, pairs[:, 0], pairs[:, 1])
 
-    tokens = rows.select("text").mapInArrow(prefixes, "token long, name long")
+    tokens = rows.select("text").mapInArrow(prefixes, "token long, name long, place long")
     met = materialize(tokens.repartition("token").mapInArrow(meet, "pivot long, name long").distinct(), "clusters")
-    blocks = met.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # the pivot is in every block
-    placed = met.join(blocks.withColumnRenamed("pivot", "p"), F.col("pivot") == F.col("p")).select("pivot", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"), "name")
-    placed = placed.unionByName(blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("name")))
-
     wanted = spark.sparkContext.broadcast(_name_bits(met))
+    tallied = pa.schema([("member", pa.int64()), ("buckets", pa.binary())])
     packed = pa.schema([("member", pa.int64()), ("shingles", pa.binary())])
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        """(names, ordered sets) of the sets that a bitmap marks, each of a task once."""
         passed: set[int] = set()
         for b in batches:
             for _, _, h, offs in _sets(b.column(0), shingle, levels.value):
                 raw = _names(h, offs, 1)
                 at = raw >> U(64 - BITMAP_BITS)
-                hit = (wanted.value[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
-                cut = (h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                names, out = [], []
+                hit = (wanted[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
+                names, found = [], []
                 for i in np.flatnonzero(hit & (np.diff(offs) > 0)).tolist():
                     name = int(raw[i])
                     if name not in passed:
                         passed.add(name)
                         names.append(name)
-                        out.append(cut[offs[i] : offs[i + 1]].tobytes())
+                        found.append(h[offs[i] : offs[i + 1]])
                 if len(passed) > REMEMBERED:
                     passed.clear()
-                yield ragged.batch(packed, ragged.signed(np.array(names, U)), out)
+                yield names, found
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, found in marked(batches, wanted.value):
+            yield ragged.batch(tallied, ragged.signed(np.array(names, U)), [_buckets(h).tobytes() for h in found])
+
+    candidates = materialize(rows.select("text").mapInArrow(tally, "member long, buckets binary"), "candidates")
+
+    screened = pa.schema([("pivot", pa.int64()), ("name", pa.int64())])
+
+    def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Clusters again, apart where no bucket counts allow a link."""
+        for _, group in _groups(batches, 1):
+            names = [g[0] for g in group]
+            counts = [np.frombuffer(g[1], np.uint8) for g in group]
+            root = list(range(len(group)))
+            for i in range(len(group)):
+                for j in range(i):
+                    if root[i] != root[j] and _may_link(counts[i], counts[j], percent):
+                        old, new = root[i], root[j]
+                        root = [new if r == old else r for r in root]
+            least = {r: min(names[i] for i in range(len(group)) if root[i] == r) for r in set(root)}
+            got = [(least[r], x) for r, x in zip(root, names, strict=True) if least[r] != x]
+            if got:
+                yield ragged.batch(screened, *map(list, zip(*got, strict=True)))
+
+    buckets = candidates.select("member", "buckets").dropDuplicates(["member"])
+
+    def screen_small(clusters: DataFrame) -> DataFrame:
+        """Small clusters taken apart where no bucket counts allow a link."""
+        size = clusters.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("size")).filter(F.col("size") < BLOCK)
+        small = clusters.join(size, F.col("pivot") == F.col("p"), "left_semi").select("pivot", "name").unionByName(size.select(F.col("p").alias("pivot"), F.col("p").alias("name")))
+        return small.join(buckets, F.col("name") == F.col("member")).select("pivot", "name", "buckets").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(screen, "pivot long, name long")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of two blocks of a large cluster that could link with a set of another component."""
+        for (pivot, _, _), group in _groups(batches, 3):
+            counts = [np.frombuffer(g[2], np.uint8) for g in group]
+            hit = [False] * len(group)
+            for i in range(len(group)):
+                for j in range(i):
+                    if not (hit[i] and hit[j]) and group[i][1] != group[j][1] and _may_link(counts[i], counts[j], percent):
+                        hit[i] = hit[j] = True
+            got = [g[0] for g, h in zip(group, hit, strict=True) if h and g[0] != pivot]
+            if got:
+                yield ragged.batch(screened, [pivot] * len(got), got)
+
+    def screen_large(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+        """Large clusters without the sets that could link with none of another component, block against block."""
+        size = clusters.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter(F.col("size") >= BLOCK)
+        large = clusters.join(size, F.col("pivot") == F.col("p")).select("pivot", "name", "blocks").unionByName(size.select(F.col("p").alias("pivot"), F.col("p").alias("name"), "blocks"))
+        dealt = large.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        paired = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name")
+        paired = paired.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "i", "j", "name", F.coalesce("root", "name").alias("root"))
+        full = paired.join(buckets, F.col("name") == F.col("member")).select("pivot", "i", "j", "name", "root", "buckets")
+        return full.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "pivot long, name long")
+
+    def likely(clusters: DataFrame) -> DataFrame:
+        """Pairs of a pivot and a set of its cluster that bucket counts allow."""
+        theirs = buckets.select(F.col("member").alias("m2"), F.col("buckets").alias("b2"))
+        both = clusters.join(buckets, F.col("name") == F.col("member")).join(theirs, F.col("pivot") == F.col("m2")).select("pivot", "name", "buckets", "b2")
+
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                may = [_may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=screened).filter(pa.array(may, pa.bool_()))
+
+        return both.mapInArrow(keep, "pivot long, name long")
 
-    sets = rows.select("text").mapInArrow(pack, "member long, shingles binary").groupBy("member").agg(F.first("shingles").alias("shingles"))
-    loaded = placed.join(sets, F.col("name") == F.col("member")).select("pivot", "block", (F.col("name") != F.col("pivot")).alias("later"), "name", "shingles")
-    loaded = materialize(loaded, "loaded")
     result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64())])
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of each block as (a, b); sets that the pivot does not link as (name, null, pivot)."""
         for (pivot, _), group in _groups(batches, 2):
             if len(group) > 1:
-                found, left = links_within([g[1] for g in group], [_unpack(g[2]) for g in group], percent)
+                found, left = links_within([g[1] for g in group], [_unpack(g[2]) for g in group], percent, [g[3] for g in group])
                 yield ragged.batch(result, [x for x, _ in found] + [group[i][1] for i in left], [y for _, y in found] + [None] * len(left), [None] * len(found) + [pivot] * len(left))
 
-    walked = loaded.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "later").mapInArrow(walk, "a long, b long, pivot long")
-    walked = materialize(walked, "walked")
+    def go_through(clusters: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(what walk() finds, blocks of each cluster, loaded blocks, sets) of clusters, each cut into blocks that all hold its pivot."""
+        blocks = clusters.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = clusters.join(blocks.withColumnRenamed("pivot", "p"), F.col("pivot") == F.col("p")).select("pivot", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"), "name")
+        placed = placed.unionByName(blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("name")))
+        needed = spark.sparkContext.broadcast(_name_bits(clusters))
+
+        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for names, found in marked(batches, needed.value):
+                cut = [(h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for h in found]
+                yield ragged.batch(packed, ragged.signed(np.array(names, U)), cut)
+
+        sets = rows.select("text").mapInArrow(pack, "member long, shingles binary").groupBy("member").agg(F.first("shingles").alias("shingles"))
+        if roots is not None:
+            placed = placed.join(roots, F.col("name") == F.col("node"), "left").drop("node")
+        root = F.col("name") if roots is None else F.coalesce("root", "name")
+        loaded = placed.withColumn("root", root).join(sets, F.col("name") == F.col("member")).select("pivot", "block", (F.col("name") != F.col("pivot")).alias("later"), "name", "shingles", "root")
+        walked = loaded.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "later").mapInArrow(walk, "a long, b long, pivot long")
+        return materialize(walked, "walked"), blocks, loaded, sets
+
+    # each set in the cluster of its smallest pivot only
+    home = met.groupBy("name").agg(F.min("pivot").alias("pivot")).select("pivot", "name")
+    walked, *_ = go_through(materialize(likely(home), "screened"), None)
     links = walked.filter("b IS NOT NULL").select("a", "b")
+    roots = materialize(components(links), "roots")
+
+    rooted = met.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "name", F.coalesce("root", "name").alias("rn"))
+    rooted = rooted.join(roots, F.col("pivot") == F.col("node"), "left").select("pivot", "name", "rn", F.coalesce("root", "pivot").alias("rp"))
+    apart = rooted.filter("rn <> rp").select(F.col("pivot").alias("p")).distinct()
+    unsettled = materialize(met.join(apart, F.col("pivot") == F.col("p"), "left_semi"), "unsettled")
+    rest = materialize(screen_small(unsettled).unionByName(screen_large(unsettled, roots)).distinct(), "screened")
+    # screening renames clusters; those whose sets are all connected need no second look
+    again = rest.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "name", F.coalesce("root", "name").alias("rn"))
+    again = again.join(roots, F.col("pivot") == F.col("node"), "left").filter(F.col("rn") != F.coalesce("root", "pivot")).select(F.col("pivot").alias("p")).distinct()
+    rest = rest.join(again, F.col("pivot") == F.col("p"), "left_semi")
+    walked, blocks, loaded, sets = go_through(materialize(rest, "clusters"), roots)
+    links = links.unionByName(walked.filter("b IS NOT NULL").select("a", "b"))
 
     large = blocks.filter("blocks > 1")
     strays = walked.filter("b IS NULL").select(F.col("a").alias("stray"), F.col("pivot").alias("p")).join(large.withColumnRenamed("pivot", "q"), F.col("p") == F.col("q")).select("stray", "p", "blocks")

@@ -71,3 +71,11 @@ def test_no_cut_inside_amounts():
 def test_middle():
     assert split_near_middle("aaaaaaaaaaaa; bbbbbbbbbbbb") == ("aaaaaaaaaaaa;", "bbbbbbbbbbbb")
     assert split_near_middle("abcd") == ("ab", "cd") and split_near_middle("") is None
+
+
+def test_budget():
+    from textloom.functions.chunk import within_budget
+
+    text = " ".join(f"word{i}" for i in range(200))
+    parts = within_budget(text, 100)
+    assert all(len(p) <= 100 for p in parts) and " ".join(parts) == text and within_budget("", 5) == [""]

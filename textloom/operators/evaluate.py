@@ -78,3 +78,15 @@ def uncovered(classic: DataFrame, live: DataFrame, key: str, k: int = 4, enough:
     theirs = live.select(F.explode(shingles(F.col("text"))).alias("g")).distinct().withColumn("hit", F.lit(1))
     share = mine.join(theirs, "g", "left").groupBy(key, "n").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count("*").alias("total"))
     return share.filter(F.col("hits") < F.col("total") * F.lit(enough)).select(key, F.col("n").cast("long").alias("chars"))
+
+
+def report_line(page: Column, blocks: Column, chars: Column, recall: Column, h_recall: Column, junk: Column) -> Column:
+    """A row of the report's table; pages of too little reference text are marked."""
+    weak = F.when(chars < THIN, " (GT weak, excluded from aggregate)").otherwise("")
+    cell = F.concat_ws(" / ", percent(recall), percent(h_recall), junk.cast("string"))
+    return F.concat(F.lit("| "), page, weak, F.lit(" | "), blocks.cast("string"), F.lit(" / "), chars.cast("string"), F.lit(" | "), cell, F.lit(" |"))
+
+
+def accepted(live_chars: Column, classic_chars: Column, missing_chars: Column) -> Column:
+    """Whether a walk of the live page stands against another extractor's text: long enough, and little of the other's missing."""
+    return (live_chars >= classic_chars * F.lit(0.7).cast("double")) & (missing_chars <= classic_chars * F.lit(0.1).cast("double"))

@@ -111,3 +111,11 @@ def stalls(rows: DataFrame, key: str, order: str, status: str, at: str) -> DataF
 
 def clamp(c: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, c))
+
+
+def ramp_split(rows: DataFrame, key: str, order: str, pieces: Column, text_col: str = "text") -> DataFrame:
+    """Rows replaced by the pieces of an array column where it is not null; places and running positions follow."""
+    whole = F.array(F.col(text_col))
+    cut = rows.select(key, order, F.posexplode(F.coalesce(pieces, whole)).alias("__piece", text_col))
+    placed = cut.withColumn("seg_idx", (F.row_number().over(Window.partitionBy(key).orderBy(order, "__piece")) - 1).cast("long"))
+    return running_chars(placed, key, "seg_idx", text_col).select(key, "seg_idx", text_col, "chars", "cum_chars")

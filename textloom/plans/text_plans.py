@@ -299,3 +299,35 @@ def middle_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plain_paragraphs(spark, sf_dir).withColumn("kind", F.lit("text"))
     return plan.segments(p, "doc_id", F.lit(0)).select("doc_id", "seg_idx", "para", "start", "end", "pause_ms", "chars", "cum_chars", F.sha2(F.col("speech").cast("binary"), 256).alias("speech_sha256"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, 0 AS piece, CASE WHEN turn = 0 AND len(text) > 20 THEN substr(text, 1, 20) ELSE text END AS text FROM conversations UNION ALL SELECT conv_id, turn, 1, substr(text, 21) FROM conversations WHERE turn = 0 AND len(text) > 20)
+SELECT conv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seg_idx, CAST(len(text) AS BIGINT) AS chars, CAST(coalesce(sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_chars FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn, piece)
+""")
+def ramp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    pieces = F.when((F.col("turn") == 0) & (F.length("text") > 20), F.array(F.substring("text", 1, 20), F.expr("substring(text, 21)")))
+    return plan.ramp_split(c, "conv_id", "turn", pieces).drop("text")
+
+
+@query(rf"""
+SELECT page, '| ' || page || CASE WHEN gt_chars < 2500 THEN ' (GT weak, excluded from aggregate)' ELSE '' END || ' | ' || gt_blocks || ' / ' || gt_chars || ' | ' || CAST(floor(recall * 100 + 0.5) AS BIGINT) || '% / ' || CASE WHEN h_recall IS NULL THEN ' n/a' ELSE CAST(floor(h_recall * 100 + 0.5) AS BIGINT) || '%' END || ' / ' || junk || ' |' AS line FROM ({SCORE})
+""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return extraction_score(spark, sf_dir).select("page", evaluate.report_line(c("page"), c("gt_blocks"), c("gt_chars"), c("recall"), c("h_recall"), c("junk")).alias("line"))
+
+
+@query("SELECT source, sum(CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE 0 END) >= sum(CASE WHEN doc_id % 2 = 1 THEN n_chars ELSE 0 END) * 0.7::DOUBLE AND sum(CASE WHEN doc_id % 16 = 1 THEN n_chars ELSE 0 END) <= sum(CASE WHEN doc_id % 2 = 1 THEN n_chars ELSE 0 END) * 0.1::DOUBLE AS ok FROM documents GROUP BY source")
+def root_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda hit: F.sum(F.when(hit, F.col("n_chars")).otherwise(0))
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(evaluate.accepted(part(d % 2 == 0), part(d % 2 == 1), part(d % 16 == 1)).alias("ok"))
+
+
+@query()
+def budget_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.chunk import budget_parts as parts
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts("text", F.lit(500))).alias("n_parts"))

@@ -21,7 +21,9 @@ def _packed_sentences(text: Column, enough: int = 300) -> Column:
         full = F.length(acc["now"]) > enough
         return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(F.concat(acc["now"], s)).alias("now"))
 
-    found = let(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), F.lit(0)), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(text)))
+    # cut where a stop is followed by something else; matching whole sentences would try every start of a text without stops
+    pieces = F.filter(F.split(text, "(?<=[.!?])(?=[^.!?])", -1), lambda p: p.rlike("^[^.!?]") & p.rlike("[.!?]$"))
+    found = let(pieces, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(text)))
     packed = F.aggregate(found, start, add, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
     return F.filter(F.transform(packed, trim), lambda p: p != "")
 

@@ -146,6 +146,28 @@ def test_html():
     assert html_text.main_text("<p title='it's>x</p>" * 50).count("x") == 50
 
 
+PROSE = "This is the text of the page and it has all that a reader would want to know about it. "
+
+
+def test_html_marks_are_a_prior():
+    card = "<article><h3>Other news</h3><p>A teaser of few words.</p></article>"
+    body = "".join(f"<p>{x} {PROSE * 4}</p><p>Short {x}.</p>" for x in ("one", "two", "three"))
+    got = html_text.main_text(f"<body><div>{body}</div>{card}{card}</body>")
+    assert all(f"{x} This" in got and f"Short {x}." in got for x in ("one", "two", "three"))
+    spread = "".join(f"<article><h2>Part {x}</h2><p>{PROSE * k}</p><p>End {x}.</p></article>" for x, k in (("a", 5), ("b", 6), ("c", 4)))
+    got = html_text.main_text(spread)
+    assert all(f"Part {x}" in got and f"End {x}." in got for x in "abc")
+    # the prior holds, but a long run of prose before the article is decided by its words
+    got = html_text.main_text(f"<div><p>Lede {PROSE * 4}</p><p>Aside.</p></div><article>{body}</article>")
+    assert "Lede" in got and "Aside" not in got
+    # inside the article a short block between link lists goes, and a heading of nothing but links
+    links = "<p><a href=x>One more page</a> <a href=y>And another page</a></p>"
+    got = html_text.main_text(f"<article><h1>Name</h1>{links}{body}{links}<p>More of these</p>{links}<h2>Links</h2>{links}</article>")
+    assert got.startswith("Name\none This") and "More of these" not in got and "Links" not in got and got.endswith("Short three.")
+    # words of no known language: the mark decides
+    assert html_text.main_text("<p>We use it for the good of all who come to this page, as you can see.</p><article><p>" + "kissa koira talo vene " * 20 + "</p></article>").startswith("kissa")
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]

@@ -7,9 +7,10 @@ block that its link density, length and stop-word density can decide; pass
 two lets the blocks left, short or middling, inherit the label of the nearest
 decided neighbour, of both if they agree, else of the nearer one.
 
-If the page marks its article (the `article` element of most text, else `main`), blocks outside it are
-out, blocks inside start from the presumption of being text, and low
-stop-word density alone does not throw one out.
+Both passes see every block.  What the page marks as its article (the largest `article` and those at least a
+quarter its size, else `main`) counts only if it holds most of the text that the passes accept when
+low stop-word density throws nothing out.  Then blocks inside start from the presumption of being text, and
+one outside needs length and high stop-word density.  A mark that holds less changes nothing.
 
 Defined cases: null, empty or tagless input gives the text that is there, or the empty text; character
 references are decoded; any white space inside a block is one space; blocks join by one
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
 LINKED, LINKED_SHORT = 0.5, 0.25
+#: Sibling articles count beside the largest from this fraction of its text: 1 / SIBLING.
+SIBLING = 4
 
 STOP_WORDS = frozenset(
     "the of and to in is it that for was on are with as by be at this from or an not but have has had they their which you his her its he she we were been will would can if no so more when there all who what about into"
@@ -172,6 +175,11 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _stop_share(b: Block) -> float:
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def _decide(b: Block, inside: bool) -> bool | None:
     """Pass one: True main text, False furniture, None undecided."""
     size = len(b.text)
@@ -180,8 +188,7 @@ def _decide(b: Block, inside: bool) -> bool | None:
         return False
     if size < SHORT or b.heading:
         return None
-    words = b.text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    stop = _stop_share(b)
     if stop >= STOP_HIGH or (inside and size > LONG):
         return True
     if stop >= STOP_LOW:
@@ -189,26 +196,16 @@ def _decide(b: Block, inside: bool) -> bool | None:
     return None if inside else False
 
 
-def classify(found: list[Block]) -> list[bool]:
-    sizes: dict[int, int] = {}
-    for b in found:
-        if b.article:
-            sizes[b.article] = sizes.get(b.article, 0) + len(b.text) - b.linked
-    best = max(sizes, key=lambda k: (sizes[k], -k)) if sizes else 0
-    marked = best > 0 or any(b.main for b in found)
-    inside = [b.article == best if best else b.main for b in found] if marked else [False] * len(found)
-    first = [False if marked and not i else _decide(b, i) for b, i in zip(found, inside, strict=True)]
-    decided = [i for i, x in enumerate(first) if x is not None and (inside[i] or not marked)]
+def _inherit(found: list[Block], first: list[bool | None]) -> list[bool]:
+    """Pass two: undecided blocks take the label of their neighbours."""
+    decided = [i for i, x in enumerate(first) if x is not None]
     out, k = [], 0
     for i, x in enumerate(first):
         if x is None:
             while k < len(decided) and decided[k] < i:
                 k += 1
             before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
-            if marked and found[i].linked * 2 <= len(found[i].text):
-                labels = [first[j] for j in (before, after) if j is not None]
-                x = True if not labels or any(labels) or found[i].heading or found[i].linked == 0 else False
-            elif before is None and after is None:
+            if before is None and after is None:
                 x = True
             elif found[i].heading:
                 x = bool(first[after]) if after is not None else False
@@ -221,6 +218,56 @@ def classify(found: list[Block]) -> list[bool]:
     return out
 
 
+def _inherit_inside(found: list[Block], first: list[bool | None]) -> list[bool]:
+    """Pass two inside the marked article: undecided blocks are text unless furniture is on both sides of a short run of them."""
+    out, n, start = [x is not False for x in first], len(found), 0
+    while start < n:
+        end = start + 1
+        if first[start] is None:
+            while end < n and first[end] is None:
+                end += 1
+            if start and end < n and not first[start - 1] and not first[end] and sum(len(b.text) for b in found[start:end]) <= LONG:
+                out[start:end] = [b.heading for b in found[start:end]]
+        start = end
+    # a heading after the first text goes with a section that lost all its blocks
+    kept = lost = False
+    leads = next((i for i in range(n) if out[i] and not found[i].heading), n)
+    for i in range(n - 1, -1, -1):
+        if not found[i].heading:
+            kept, lost = kept or out[i], lost or not out[i]
+            continue
+        if first[i] is None and i > leads and lost and not kept:
+            out[i] = False
+        kept = lost = False
+    return out
+
+
+def _marked(found: list[Block]) -> list[bool] | None:
+    """Which blocks the page's marked article holds; None if no mark holds most of the text that the passes accept."""
+    if not any(b.article or b.main for b in found):
+        return None
+    weights = [(len(b.text) - b.linked) * ok for b, ok in zip(found, _inherit(found, [_decide(b, True) for b in found]), strict=True)]
+    sizes: dict[int, int] = {}
+    for b, w in zip(found, weights, strict=True):
+        if b.article:
+            sizes[b.article] = sizes.get(b.article, 0) + w
+    largest = max(sizes.values(), default=0)
+    for inside in ([b.article > 0 and sizes[b.article] * SIBLING >= largest for b in found], [b.main for b in found]):
+        if sum(w for w, i in zip(weights, inside, strict=True) if i) * 2 > sum(weights):
+            return inside
+    return None
+
+
+def classify(found: list[Block]) -> list[bool]:
+    inside = _marked(found)
+    if inside is None:
+        return _inherit(found, [_decide(b, False) for b in found])
+    at = [i for i, x in enumerate(inside) if x]
+    within = [found[i] for i in at]
+    labels = dict(zip(at, _inherit_inside(within, [_decide(b, True) for b in within]), strict=True))
+    return [labels[i] if i in labels else len(b.text) > LONG and _stop_share(b) >= STOP_HIGH and _decide(b, False) is True for i, b in enumerate(found)]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     return "\n".join(b.text for b, keep in zip(found, classify(found), strict=True) if keep)

@@ -168,6 +168,25 @@ def test_html_marks_are_a_prior():
     assert html_text.main_text("<p>We use it for the good of all who come to this page, as you can see.</p><article><p>" + "kissa koira talo vene " * 20 + "</p></article>").startswith("kissa")
 
 
+@pytest.mark.parametrize("names", ['class="content-with-sidebar"', 'class="no-sidebar"', 'class="content-sidebar-wrap"', 'class="social-science post"', 'id="has-comments"', 'class="page-sidebar-left"'])
+def test_html_names_of_content(names):
+    body = f"<h1>Name</h1><p>{PROSE * 4}</p><p>Short end.</p>"
+    inner = '<div class="sidebar"><p>Side words.</p></div><div class="post-comments"><p>Nice post!</p></div>'
+    for page in (f"<div {names}><article>{body}</article>{inner}</div>", f"<div {names}>{body}{inner}</div>"):
+        got = html_text.main_text(page)
+        assert got.startswith("Name\nThis is") and got.endswith("Short end.")
+
+
+def test_html_names_of_furniture():
+    body = f"<p>{PROSE * 4}</p>"
+    for names in ("main-nav", "entry-footer", "post-share", "sidebar-2", "relatedPosts", "post-comments", "comment-content", "ad-container"):
+        assert html_text.main_text(f'<article>{body}<div class="{names}"><p>Other words.</p></div></article>') == " ".join([PROSE.strip()] * 4)
+    # comments longer than the article stay out; a page of nothing but comments is read
+    assert html_text.main_text(f'<p>{PROSE * 3}</p><div id="comments"><p>{"I think that it is so. " * 40}</p></div>').count("think") == 0
+    assert html_text.main_text(f'<div id="comments"><p>{"I think that it is so. " * 40}</p></div>').count("think") == 40
+    assert html_text.main_text(f'<div class="sidebar" hidden>{body}</div>') == ""
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]

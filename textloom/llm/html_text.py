@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags.  Zones that markup names as furniture
 (navigation, page header and footer, sidebars, forms, scripts, and elements whose class, id or
-role says advert, notice, comment and the like) give none.  Pass one decides every
+role says advert, notice, comment and the like) give none.  A name is judged by whole tokens: one that names content
+and only mentions furniture (content-sidebar-wrap, no-sidebar) opens no zone.  A zone by name alone that holds most of the page's
+text (beside text of a marked article also over LONG characters, outside it four fifths) is left to the two passes, one of
+comments only if it holds all of it.  Pass one decides every
 block that its link density, length and stop-word density can decide; pass
 two lets the blocks left, short or middling, inherit the label of the nearest
 decided neighbour, of both if they agree, else of the nearer one.
@@ -29,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import CONTENT_NAME
+
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
 LINKED, LINKED_SHORT = 0.5, 0.25
@@ -55,7 +60,12 @@ FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup paywall share sharing social related recommended recommendations comment comments commentlist disqus replies respond widget toolbar pagination pager skip search complementary contentinfo dialog".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words after which a token says what an element is combined with, not what it is.
+MODIFIERS = frozenset(["no", "has", "with", "without"])
 
+_CONTENT = re.compile(CONTENT_NAME)
+_CONTENT_TOKEN = re.compile(f"(?:{CONTENT_NAME})$")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -71,54 +81,105 @@ class Block:
     main: bool
 
 
-def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element opens a zone that holds no main text."""
+def _named(names: str) -> str:
+    """What a class, id or role names: "comments", other furniture "named", or neither."""
+    found, tokens = "", names.split()
+    content = any(_CONTENT_TOKEN.match(t.lower()) for t in tokens)
+    for token in tokens:
+        words = [w.lower() for w in _NAMES.findall(token) if not w.isdigit()]
+        words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+        first = next((i for i, w in enumerate(words) if w in FURNITURE), None)
+        if first is None:
+            continue
+        if any(w in COMMENTS for w in words):
+            return "comments"
+        # the last word says what it is, the first of what: a content-sidebar-wrap is content, an entry-footer or related-posts not
+        if words[-1] in FURNITURE or not (content or _CONTENT.search("-".join(words[:first]))):
+            found = "named"
+    return found
+
+
+def _furniture(name: str, attributes: str, inside_article: bool) -> str:
+    """The zone without main text that an element opens: "out" by its tag or as hidden, "comments" or "named" by its names, or none."""
     if name in OUT or (name == "header" and not inside_article):
-        return True
+        return "out"
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
+    zone = ""
     for key, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         key, value = (key or bare).lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value.lower()):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main", "article") and any(w.lower() in FURNITURE for w in _NAMES.findall(value)):
-            return True
+            return "out"
+        if zone == "comments":
+            continue
+        if key in ("class", "id", "role") and name not in ("html", "body", "main", "article"):
+            zone = _named(value) or zone
         if key in ("class", "id") and name == "article" and any(w.lower() in ("comment", "comments", "reply") for w in _NAMES.findall(value)):
-            return True
-    return False
+            zone = "comments"
+    return zone
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, without those of furniture."""
+    found, zones, size = _scan(page, frozenset())
+    marked = any(b.article or b.main for b in found)
+
+    def spare(kind: str, n: int, inside: bool) -> bool:
+        if kind == "comments":
+            return 0 < n == size
+        # beside the text of a marked article, the name of a small zone holds
+        return n * 2 > size and (not marked or n > LONG and (inside or n * 5 > size * 4))
+
+    spared = frozenset(i for i, zone in enumerate(zones) if spare(*zone))
+    return _scan(page, spared)[0] if spared else found
+
+
+def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[str, int, bool]], int]:
+    """Blocks outside zones, but for the spared ones; kind, unlinked characters and place in an article of every zone by name; characters of all zones and blocks."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, furniture, article, main
+    stack: list[tuple[str, str, int, bool, int]] = []  # tag, zone around, article, main, number of the named zone it opens or -1
     pieces: list[str] = []
     linked: list[str] = []
+    zones: list[tuple[str, int, bool]] = []  # until a zone is closed, the characters before it
+    size = 0
     articles, at, n, heading = 0, 0, len(page), False
 
-    def top() -> tuple[str, bool, int, bool]:
-        return stack[-1] if stack else ("", False, 0, False)
+    def top() -> tuple[str, str, int, bool, int]:
+        return stack[-1] if stack else ("", "", 0, False, -1)
 
     def add(raw: str) -> None:
-        if raw and not top()[1]:
+        nonlocal size
+        zone = top()[1]
+        if raw and zone != "out":
+            inside_link = any(t[0] == "a" for t in stack)
+            size += 0 if inside_link else len(raw.strip())
+            if zone:
+                return
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(t[0] == "a" for t in stack):
+            if inside_link:
                 linked.append(text)
 
+    def drop(i: int) -> None:
+        for *_, zone in stack[i:]:
+            if zone >= 0:
+                kind, before, inside = zones[zone]
+                zones[zone] = (kind, size - before, inside)
+        del stack[i:]
+
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                _, _, article, main = top()
+                _, _, article, main, _ = top()
                 out.append(Block(text, len(" ".join("".join(linked).split())), heading, article, main))
             pieces, linked = [], []
 
     def close(name: str, stop: frozenset[str] = frozenset()) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
-                del stack[i:]
+                drop(i)
                 return
             if stack[i][0] in stop:
                 return
@@ -166,13 +227,19 @@ def blocks(page: str) -> list[Block]:
             close("a", CONTAINERS)
         if name == "body":
             close("head")
-        _, out_zone, article, main = top()
-        if name == "article" and not out_zone:
+        _, zone, article, main, _ = top()
+        if name == "article" and not zone:
             articles += 1
             article = article or articles
-        stack.append((name, out_zone or _furniture(name, attributes, article > 0 or main), article, main or name == "main" or 'role="main"' in attributes))
+        own, number = "" if zone == "out" else _furniture(name, attributes, article > 0 or main), -1
+        if own and own != "out":
+            number = len(zones)
+            zones.append((own, size, article > 0 or main))
+            own = "" if number in spared else own
+        stack.append((name, "out" if own == "out" else zone or own, article, main or name == "main" or 'role="main"' in attributes, number))
     flush()
-    return out
+    drop(0)
+    return out, zones, size
 
 
 def _stop_share(b: Block) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom import registry
 from textloom.functions import labels, text, titles
-from textloom.operators import cache, paragraphs, plan, sessions
+from textloom.operators import cache, paragraphs, plan, sessions, tree
 from textloom.sources import corpus, html_tree, pages
 from textloom.streaming.sessions import fold, play, play_batch
 
@@ -68,6 +68,30 @@ def test_runs_and_sessions(spark):
     assert [r.session for r in sessions.idle_sessions(e, "u", "ts", "id").orderBy("id").collect()] == [0, 0, 0, 0, 1]
 
 
+
+def test_process_tree_has_no_row_or_level_limit(spark, tmp_path):
+    rows = [(i, i % 7 + 1) for i in range(300)] + [(5, 9)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = {r.root: (r.processes, r.rss) for r in registry.queries()["process_tree"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", kept)
+
+    want = {}
+    for root in (0, 1, 5):
+        reached, level = [], [r for r, _ in rows if r == root]
+        while level:
+            reached += level
+            level = [c for pid in level for c, _ in rows if c > 0 and c // 3 == pid]
+        joined = [n for pid in reached for c, n in rows if c == pid]
+        want[root] = (len(joined), sum(joined))
+    assert got == want
+    chain = spark.createDataFrame([(i, i - 1, 1) for i in range(8)], "pid long, parent long, rss long")
+    assert values(tree.subtree_totals(chain, [3])) == [(3, 5, 5)]
+
+
 PAGE = """<html><head><title>T</title><script>var x='<p>no</p>'</script></head><body><nav><ul><li><a href=/a>One link</a></ul></nav><article><h1>The name</h1>
 <p>First paragraph that is long enough to count as real text of the article, with more words to pass eighty.<p>Second one, also of a fair length so that the root is this article and nothing else around it here.
 <div class="social-share">Share this with everyone you know</div><h2>Recommended reading</h2><p>A short headline</p><h2>Next part</h2><p>Closing words of the article that end it in a proper sentence of enough length to count.</p><h3>Trailing</h3></article><footer>Footer words here</footer></body></html>"""

@@ -1,52 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables of these operators: those of the whole package."""
 
-The folder is the session's spark.checkpoint.dir.  Only where that is unset, as in
-tests on one machine, a folder of our own is made.  A table written here cuts the
-lineage: executors lost later cost no recomputation of what came before.
-"""
+from ..storage import materialize, release, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        set_dir = context._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else _own.get(context.applicationId)
-        if not found:
-            found = _own[context.applicationId] = tempfile.mkdtemp(prefix="textloom-")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; it goes when the session's driver exits."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that materialize() returned and nothing reads any more."""
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            _remove(df.sparkSession, file.rsplit("/", 1)[0])
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    jvm = context._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["materialize", "release", "shared_dir"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import cache, plan, voices
+from ..operators import cache, plan, tree, voices
 from .catalog import query, table
 
 END = "TIMESTAMP '2024-01-06 00:00:00'"
@@ -149,13 +149,10 @@ t AS (SELECT pid AS root, pid FROM p WHERE pid IN (0, 1, 5) UNION ALL SELECT t.r
 SELECT root, count(*) AS processes, CAST(sum(rss) AS BIGINT) AS rss FROM t JOIN p USING (pid) GROUP BY root
 """)
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory of a process and all below it: a transitive closure by a recursive query."""
+    """Memory of a process and all below it: a transitive closure by one join a level."""
     d = table(spark, sf_dir, "documents")
     parent = F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 3)).otherwise(-1).cast("long")
-    return spark.sql("""
-        WITH RECURSIVE t(root, pid) MAX RECURSION LEVEL 100 AS (SELECT pid, pid FROM {p} WHERE pid IN (0, 1, 5) UNION ALL SELECT t.root, p.pid FROM t JOIN {p} p ON p.parent = t.pid)
-        SELECT root, count(*) AS processes, sum(rss) AS rss FROM t JOIN {p} q ON t.pid = q.pid GROUP BY root
-        """, p=d.select(F.col("doc_id").alias("pid"), parent.alias("parent"), F.col("n_chars").alias("rss")))
+    return tree.subtree_totals(d.select(F.col("doc_id").alias("pid"), parent.alias("parent"), F.col("n_chars").alias("rss")), [0, 1, 5])
 
 
 @query("SELECT event_type AS device, round(sum(value) / sum(50.0), 6) AS rtf, max(value) AS max_rss, round(sum(value) / 3600, 6) AS cores_busy, arg_min(value, event_id) / 50 AS first_rtf FROM events GROUP BY event_type")

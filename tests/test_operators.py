@@ -107,6 +107,31 @@ def test_article(spark):
     assert sized.filter("node = 0").first().total == sized.agg(F.sum("chars")).first()[0]
 
 
+LONG = "A paragraph of the article that is long enough to be read as its text, and to mark where the article's root is."
+
+
+def said(html):
+    return [t for _, _, t in html_tree.paragraphs(html)]
+
+
+def test_article_of_divs_runs_and_cells():
+    assert said(f"<body><div><div>{LONG}</div><div>Published March 12, 2026</div><div>Second part of the page in a plain div.</div></div></body>") == [LONG, "Second part of the page in a plain div."]
+    assert said("<body>First line of a page of breaks.<br><br>Second <b>line</b> of a page of breaks.<br>It goes on.</body>") == ["First line of a page of breaks.", "Second line of a page of breaks. It goes on."]
+    mixed = f"<article><h1>Name</h1><div>Lead text beside block children.<p>{LONG}</p>Trailing text after the paragraph.</div><blockquote>Words that open the quotation.<p>{LONG}</p></blockquote><ul><li>An item with a list below it<ul><li>Inner item</ul></ul><div>More {LONG}</div></article>"
+    assert said(mixed) == ["Name", "Lead text beside block children.", LONG, "Trailing text after the paragraph.", "Words that open the quotation.", LONG, "An item with a list below it", "Inner item", f"More {LONG}"]
+    assert [k for _, k, _ in html_tree.paragraphs(mixed)] == ["heading", "text", "text", "text", "quote", "text", "list", "list", "text"]
+    cells = "<table><tr><td>A cell with a sentence long enough to read.<td>No sentence, only a few words here</table><table><thead><tr><th>X</thead><tr><td>A value cell under a head row</table><table class=infobox><tr><td>This is a sentence in a box of facts.</table>"
+    assert said(f"<article><p>{LONG}</p>{cells}</article>") == [LONG, "A cell with a sentence long enough to read.", "A value cell under a head row"]
+    assert html_tree.paragraphs(f"<article><div role=heading aria-level=3>Part</div><p>{LONG}</p></article>")[0][1:] == ("heading", "Part")
+
+
+def test_promo_boxes_and_banners():
+    box = "<div><h2>Recommended Reading</h2><p><a href=/a>The best novelist whose name you may not know.</a></p><div><a href=/b>A long headline of another piece that ends as a sentence, which no rule on short lines would drop.</a></div></div>"
+    assert said(f"<article><p>{LONG}</p>{box}<p>{LONG}</p></article>") == [LONG, LONG]
+    banner = '<div><header><h1 class="logo"><a href="/">The Daily Site</a></h1></header></div>'
+    assert said(f"<body>{banner}<div><h1>Why patience wins</h1></div><div>{LONG}</div></body>") == ["Why patience wins", LONG]
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("# x\n\nnews https://www.a.org/b?c\nblog http://b.net/\n")
     assert [(r.category, r.slug[:6]) for r in corpus.read_corpus(spark, str(tmp_path / "urls.txt")).collect()] == [("news", "a.org-"), ("blog", "b.net-")]

@@ -27,6 +27,13 @@ def test_titles(spark):
     assert values(df.limit(1).select(titles.choose_title(F.lit("@me"), F.lit(None).cast("string"), F.lit(""), F.col("t")))) == [("Why we save",)]
 
 
+def test_title_match_reads_whole_headings(spark, tmp_path):
+    start = "Why the patient readers of long"
+    rows = [(1, f"<title>{start} books win</title><h1>{start} books win</h1>"), (2, f"<title>{start[:30]}</title><h1>Quite another heading of more than thirty characters: {start[:30]}</h1>"), (3, "<title>One</title><h1>Two</h1>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert dict(values(registry.queries()["title_match_whole"](spark, str(tmp_path)))) == {1: True, 2: True, 3: False}
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(102.0,), (0.4,), (None,)], "s double")
     assert values(df.select(labels.clock_label(F.col("s")), labels.time_left(F.col("s")), labels.spoken_time(F.col("s"))))[:2] == [("1:42", "2 min left", "1 minute 42 seconds"), ("0:00", "1s left", "0 seconds")]

@@ -69,6 +69,18 @@ def test_eviction_is_a_prefix(spark):
     assert pcm == [32767, -32768, 16384, -16383]
 
 
+def test_eviction_by_one_budget_in_ranges(spark):
+    rows = [(f"k{i % 97:02d}{i}", f"2024-01-01 {i % 20:02d}:00:00", i % 13) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, ts string, bytes long").withColumn("ts", F.to_timestamp("ts"))
+    out = cache.evict(df, F.expr("TIMESTAMP '2024-01-01 23:00:00'"), 1000)
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    held, want = 0, {}
+    for key, _, size in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True):
+        held += size
+        want[key] = held > 900
+    assert {r.key: r.evicted for r in out.collect()} == want and "cache_evict_all" in registry.queries()
+
+
 def test_runs_and_sessions(spark):
     e = spark.createDataFrame([(1, i, f"2024-01-01 00:{m:02d}:00", "error" if i in (1, 2, 3) else "ok") for i, m in enumerate([0, 1, 2, 3, 20])], "u long, id long, ts string, s string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.run_length for r in sessions.runs(e, "u", "ts", "id", F.col("s") == "error").collect()] == [3]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MAX_AGE_HOURS, BUDGET_BYTES, FILL = 48, 96 * 1024 * 1024, 0.9
 
 
@@ -23,9 +25,22 @@ def evict(meta: DataFrame, now: Column, budget: int = BUDGET_BYTES, partition: s
 
     Times ascend, so what goes is a prefix of the order and a suffix sum of bytes decides each row by itself.
     """
-    order = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy("ts", "key").rowsBetween(0, Window.unboundedFollowing)
-    over = F.sum("bytes").over(order) > budget * FILL
-    return meta.withColumn("evicted", (F.col("ts") < now - F.expr(f"INTERVAL {MAX_AGE_HOURS} HOURS")) | over)
+    if partition:
+        room = F.sum("bytes").over(Window.partitionBy(partition).orderBy("ts", "key").rowsBetween(0, Window.unboundedFollowing))
+        rows = meta.withColumn("__held", room)
+    else:
+        rows = _suffix_sums(meta)
+    return rows.withColumn("evicted", (F.col("ts") < now - F.expr(f"INTERVAL {MAX_AGE_HOURS} HOURS")) | (F.col("__held") > budget * FILL)).drop("__held")
+
+
+def _suffix_sums(meta: DataFrame) -> DataFrame:
+    """Adds __held, bytes of the row and all after it: sums inside ranges of the order, and the totals of the ranges after."""
+    n = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(meta.repartitionByRange(n, "ts", "key").withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__range").agg(F.sum("bytes").alias("__sum"))
+    after = totals.alias("x").join(totals.alias("y"), F.col("x.__range") < F.col("y.__range"), "left").groupBy(F.col("x.__range").alias("__range")).agg(F.coalesce(F.sum("y.__sum"), F.lit(0)).alias("__after"))
+    inside = F.sum("bytes").over(Window.partitionBy("__range").orderBy("ts", "key").rowsBetween(0, Window.unboundedFollowing))
+    return ranged.withColumn("__held", F.coalesce(inside, F.lit(0))).join(F.broadcast(after), "__range").withColumn("__held", F.col("__held") + F.col("__after")).drop("__range", "__after")
 
 
 def to_pcm(samples: Column) -> Column:

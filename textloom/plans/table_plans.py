@@ -36,6 +36,12 @@ def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.evict(_meta(spark, sf_dir), F.expr(END), 1_000_000, "user_id").select("user_id", "key", "evicted")
 
 
+@query(f"SELECT user_id, key, ts < {END} - INTERVAL 48 HOURS OR sum(bytes) OVER (ORDER BY ts, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 90596966.4::DOUBLE AS evicted FROM ({META})")
+def cache_evict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One budget over the whole cache."""
+    return cache.evict(_meta(spark, sf_dir), F.expr(END)).select("user_id", "key", "evicted")
+
+
 @query(f"SELECT count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({META})")
 def cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _meta(spark, sf_dir).agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import collapse, trim
 
+# The speeds on offer; the wording and limits of the labels below must stay as they are.
 SPEEDS = (0.75, 1.0, 1.25, 1.5, 1.75, 2.0)
 
 

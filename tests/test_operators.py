@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom import registry
 from textloom.functions import labels, text, titles
-from textloom.operators import cache, paragraphs, plan, sessions, tree
+from textloom.operators import cache, evaluate, paragraphs, plan, sessions, tree
 from textloom.sources import corpus, html_tree, pages
 from textloom.streaming.sessions import fold, play, play_batch
 
@@ -55,12 +55,30 @@ def test_paragraph_branches(spark):
 
 
 def test_seek_and_segments(spark):
-    rows = spark.createDataFrame([(1, i, "text", "word " * 30) for i in range(4)], "doc long, para long, kind string, text string")
-    seg = plan.segments(rows, "doc", F.lit(0))
+    long = [("text", "word " * 30)] * 4
+    rows = spark.createDataFrame([(1, long), (2, []), (3, None), (4, [("text", None), ("text", "***")])], "doc long, paragraphs array<struct<kind:string,text:string>>")
+    assert plan.segments(rows, "doc").filter("doc > 1").count() == 0
+    assert sorted((r.doc, r.seg_idx) for r in plan.segments(rows, "doc", outer=True).filter("doc > 1").collect()) == [(2, None), (3, None), (4, None)]
+    assert plan.segments(rows.limit(0), "doc").count() == 0
+    seg = plan.segments(rows.filter("doc = 1"), "doc", start_paragraph=0)
     assert [r.cum_chars for r in seg.orderBy("seg_idx").collect()] == [0, *[sum(r.chars for r in seg.orderBy("seg_idx").collect()[:i]) for i in range(1, seg.count())]]
     assert dict((r.p, r.seg_idx) for r in plan.seek(seg, "doc", [0.0, 1.0], "seg_idx").collect()) == {0.0: 0, 1.0: seg.count() - 1}
 
 
+def test_running_sums_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, ["abc", "é", None]), (2, None), (3, []), (4, ["日本"])], "doc long, texts array<string>")
+    got = plan.running_in_row(rows, "doc", "texts", "para")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, 0), (1, 1, 1, 3), (1, 2, 0, 4), (4, 0, 2, 0)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_ignore_how_accents_are_written(spark):
+    blocks = spark.createDataFrame([("p", 1, "Une cafe\u0301 noir e\u0301te\u0301"), ("p", 2, "nothing like that here"), ("p", 3, "caf\u00e9"), ("p", 4, "?!")], "page string, block long, text string")
+    others = spark.createDataFrame([("p", 9, "une caf\u00e9 noir \u00e9t\u00e9")], "page string, block long, text string")
+    got = evaluate.found(evaluate.tokenised(blocks, "page", "block"), evaluate.tokenised(others, "page", "block"), "page", "block")
+    assert {r.block: r.f for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0}
+
+
 def test_eviction_is_a_prefix(spark):
     rows = spark.createDataFrame([(f"k{i}", f"2024-01-01 0{i}:00:00", 40) for i in range(6)], "key string, ts string, bytes long").withColumn("ts", F.to_timestamp("ts"))
     out = cache.evict(rows, F.expr("TIMESTAMP '2024-01-01 12:00:00'"), 100).orderBy("ts")

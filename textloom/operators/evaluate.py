@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, words
+from ..storage import materialize
 
 THIN = 2500
+_MARKS = regex.compile(r"\p{M}+")
+
+
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks, so that composed and decomposed letters are alike."""
+    return text.map(lambda t: _MARKS.sub("", unicodedata.normalize("NFKD", t)) if not t.isascii() else t, na_action="ignore")
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words with inner apostrophes; compatibility decomposition is left to the caller's text."""
-    plain = F.regexp_replace(F.lower(text), "[’‘`]", "'")
+    """Lower-case words with inner apostrophes, accents aside."""
+    plain = F.regexp_replace(folded(F.lower(text)), "[’‘`]", "'")
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+(?:'\p{L}+)?"), F.lit(0))
 
 
+def tokenised(rows: DataFrame, *columns: str) -> DataFrame:
+    """Columns of rows with n, the characters, and t, the words of their text; worked out once and written."""
+    return materialize(rows.select(*columns, F.length("text").alias("n"), tokens(F.col("text")).alias("t")), "tokens")
+
+
 def pairs(toks: Column) -> Column:
     def joined(t: Column) -> Column:
         n = F.greatest(F.size(t) - 1, F.lit(0))
@@ -25,33 +43,29 @@ def pairs(toks: Column) -> Column:
 
 
 def found(blocks: DataFrame, others: DataFrame, page: str, block: str) -> DataFrame:
-    """(page, block, f): share of a block's word pairs that the page's other blocks have, repeated ones counted.
+    """(page, block, f) of tokenised blocks: share of a block's word pairs that the page's other blocks have, repeated ones counted.
 
     Blocks of fewer than three words count as found if the words stand together in one of them; without words, always.
     """
-    toks = blocks.select(page, block, tokens(F.col("text")).alias("t"))
-    grams = toks.filter(F.size("t") >= 3).select(page, block, F.explode(pairs(F.col("t"))).alias("g"))
-    there = others.select(page, F.explode(pairs(tokens(F.col("text")))).alias("g")).distinct().withColumn("hit", F.lit(1))
-    long = grams.join(there, [page, "g"], "left").groupBy(page, block).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("f"))
-    # one or two words: look for them as a word or a pair
-    few = toks.filter(F.size("t").between(1, 2)).select(page, block, F.concat_ws(" ", "t").alias("g"))
-    single = others.select(page, F.explode(let(tokens(F.col("text")), lambda t: F.array_union(t, pairs(t)))).alias("g")).distinct().withColumn("hit", F.lit(1.0))
-    short = few.join(single, [page, "g"], "left").select(page, block, F.coalesce("hit", F.lit(0.0)).alias("f"))
-    none = toks.filter(F.size("t") == 0).select(page, block, F.lit(1.0).alias("f"))
-    return long.unionByName(short).unionByName(none)
+    t = F.col("t")
+    # a pair never equals a word, so one table of words and pairs serves both
+    wanted = F.when(F.size(t) >= 3, pairs(t)).when(F.size(t) >= 1, F.array(F.concat_ws(" ", t))).otherwise(F.expr("cast(array() as array<string>)"))
+    grams = blocks.select(page, block, F.explode_outer(wanted).alias("g"))
+    there = others.select(page, F.explode(F.array_union(t, pairs(t))).alias("g")).distinct().withColumn("hit", F.lit(1))
+    share = F.avg(F.when(F.col("g").isNull(), 1).otherwise(F.coalesce("hit", F.lit(0))))
+    return grams.join(there, [page, "g"], "left").groupBy(page, block).agg(share.alias("f"))
 
 
 def score(reference: DataFrame, extracted: DataFrame, page: str, block: str) -> DataFrame:
-    """(page, recall, h_recall, htot, junk, out_chars, gt_chars, gt_blocks) of blocks (page, block, kind, text) against extracted (page, block, text)."""
-    f = found(reference, extracted, page, block).withColumnRenamed("f", "share")
-    own = reference.join(f, [page, block]).withColumn("n", F.length("text"))
+    """(page, recall, h_recall, htot, junk, out_chars, gt_chars, gt_blocks) of tokenised blocks (page, block, kind, n, t) against extracted ones (page, block, n, t)."""
+    own = reference.select(page, block, "kind", "n").join(found(reference, extracted, page, block).withColumnRenamed("f", "share"), [page, block])
     heading = F.col("kind") == "heading"
     ours = own.groupBy(page).agg(
         (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("recall"), (F.sum(F.when(heading & (F.col("share") >= 0.9), 1).otherwise(0)) / F.sum(F.when(heading, 1))).alias("h_recall"),
         F.sum(heading.cast("long")).alias("htot"), F.sum("n").cast("long").alias("gt_chars"), F.count("*").alias("gt_blocks"),
     )
-    back = found(extracted, reference, page, block)
-    theirs = extracted.join(back, [page, block]).groupBy(page).agg(F.sum(F.when(F.col("f") < 0.5, F.length("text")).otherwise(0)).cast("long").alias("junk"), F.sum(F.length("text")).cast("long").alias("out_chars"))
+    back = extracted.select(page, block, "n").join(found(extracted, reference, page, block), [page, block])
+    theirs = back.groupBy(page).agg(F.sum(F.when(F.col("f") < 0.5, F.col("n")).otherwise(0)).cast("long").alias("junk"), F.sum("n").cast("long").alias("out_chars"))
     return ours.join(theirs, page, "left").withColumns({"junk": F.coalesce("junk", F.lit(0)), "out_chars": F.coalesce("out_chars", F.lit(0))})
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunk import chunk_spans
-from ..functions.text import speakable, speech
+from ..functions.chunk import chunk
+from ..functions.text import speech_text
 
 #: Seconds a character takes before anything is measured.
 SECONDS_PER_CHAR = 1 / 15
+#: What a voice can say something of.
+SAID = regex.compile(r"[\p{L}\p{N}]")
+_SEGMENT = {"seg_idx long": pa.int64(), "para long": pa.int64(), "start int": pa.int32(), "`end` int": pa.int32(), "text string": pa.string(), "speech string": pa.string(), "pause_ms int": pa.int32(), "chars long": pa.int64(), "cum_chars long": pa.int64()}
 
 
 def running_chars(rows: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
@@ -18,17 +27,56 @@ def running_chars(rows: DataFrame, key: str, order: str, text_col: str = "text")
     return rows.withColumn("chars", F.length(text_col).cast("long")).withColumn("cum_chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long"))
 
 
-def segments(paragraphs: DataFrame, key: str, start_paragraph: Column | None = None) -> DataFrame:
-    """(key, seg_idx, para, start, end, text, speech, pause_ms, chars, cum_chars) of paragraphs (key, para, kind, text).
+def running_in_row(rows: DataFrame, key: str, texts: str, index: str) -> DataFrame:
+    """(key, index, chars, cum_chars) of the texts in each row's array; what is in one row is in order already, so nothing is shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            chars = np.array(pc.fill_null(pc.utf8_length(pc.list_flatten(lists)), 0), np.int64)
+            first = np.cumsum(counts) - counts
+            upto = np.concatenate([[0], np.cumsum(chars)])
+            place = np.arange(len(chars)) - np.repeat(first, counts)
+            owner = pa.array(np.repeat(np.arange(b.num_rows), counts))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), pa.array(place), pa.array(chars), pa.array(upto[:-1] - np.repeat(upto[first], counts))], names=[key, index, "chars", "cum_chars"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, texts).mapInArrow(run, f"`{key}` {kind}, `{index}` long, chars long, cum_chars long")
+
+
+def segments(rows: DataFrame, key: str, paragraphs: str = "paragraphs", start_paragraph: int | None = None, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """(key, carry, seg_idx, para, start, end, text, speech, pause_ms, chars, cum_chars) of rows that hold an array of structs (kind, text).
 
-    The paragraph reading starts with gets a short first segment; segments that say nothing are left out.
+    The paragraph reading starts with gets a short first segment; segments that say nothing are left out.  With `outer` a row
+    without a segment gives one of nulls.  Order and running sums come from the row itself: no shuffle.
     """
-    fast = F.lit(False) if start_paragraph is None else F.col("para") == start_paragraph
-    spans = paragraphs.select(key, "para", "text", F.posexplode(chunk_spans(F.col("text"), F.col("kind"), fast)).alias("piece", "s"))
-    cut = spans.select(key, "para", "piece", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.pause_ms").alias("pause_ms"), F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
-    said = cut.withColumn("speech", speech("text")).filter(speakable(F.col("speech")))
-    order = Window.partitionBy(key).orderBy("para", "piece")
-    return running_chars(said.withColumn("seg_idx", (F.row_number().over(order) - 1).cast("long")), key, "seg_idx").drop("piece")
+    kept = [rows.schema[c] for c in (key, *carry)]
+    names = [f.name for f in kept] + [x.split()[0].strip("`") for x in _SEGMENT]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                owner, out = [], []
+                for i, held in enumerate(part.column(len(kept)).to_pylist()):
+                    n = before = 0
+                    for para, p in enumerate(held or ()):
+                        for start, end, pause in chunk(p["text"], p["kind"], para == start_paragraph) if p["text"] else ():
+                            said = speech_text(p["text"][start:end])
+                            if SAID.search(said):
+                                out.append((n, para, start, end, p["text"][start:end], said, pause, end - start, before))
+                                owner.append(i)
+                                n, before = n + 1, before + end - start
+                    if outer and not n:
+                        out.append((None,) * len(_SEGMENT))
+                        owner.append(i)
+                columns = list(zip(*out, strict=True)) or [()] * len(_SEGMENT)
+                own = [c.take(pa.array(owner, pa.int64())) for c in part.columns[: len(kept)]]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(columns, _SEGMENT.values(), strict=True)], names=names)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + list(_SEGMENT))
+    return rows.select(key, *carry, paragraphs).mapInArrow(run, schema)
 
 
 def seek(rows: DataFrame, key: str, fractions: list[float], index: str) -> DataFrame:

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.titles import choose_title
 from ..operators import locate, plan
 from ..sources import pages
-from .catalog import query, table
+from .catalog import query, table, texts
 
 
 @query()
 def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: title, paragraphs, segments, characters and seconds of reading."""
-    raw = table(spark, sf_dir, "pages")
-    segments = plan.segments(pages.paragraphs(raw), "page_id", F.lit(0))
-    stats = segments.groupBy("page_id").agg(F.countDistinct("para").alias("n_paras"), F.count("*").alias("n_segments"), F.sum("chars").alias("total_chars"), (F.sum("chars") * plan.SECONDS_PER_CHAR + F.sum("pause_ms") / 1000).alias("est_seconds"))
     title = choose_title(pages.meta(F.col("html"), "property", "og:title"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit(None).cast("string"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    return raw.select("page_id", title.alias("title")).join(stats, "page_id", "left")
+    raw = texts(spark, sf_dir, "pages", "page_id", "html").withColumn("title", title)
+    segments = plan.segments(pages.articles(raw, carry=("title",)), "page_id", start_paragraph=0, carry=("title",), outer=True)
+    counted = F.count("seg_idx")
+    stats = (F.when(counted > 0, F.countDistinct("para")), F.when(counted > 0, counted), F.sum("chars"), F.sum("chars") * plan.SECONDS_PER_CHAR + F.sum("pause_ms") / 1000)
+    return segments.groupBy("page_id", "title").agg(*[c.alias(n) for c, n in zip(stats, ("n_paras", "n_segments", "total_chars", "est_seconds"), strict=True)])
 
 
 @query(r"""
@@ -26,19 +27,19 @@ SELECT page_id, kind, count(*) AS n FROM (SELECT page_id, 'heading' AS kind FROM
 UNION ALL SELECT page_id, 'text' FROM (SELECT page_id, unnest(regexp_split_to_array(regexp_extract(html, '</h1>(.*)</article>', 1), '<p>|</p>')) AS t FROM pages) WHERE len(replace(replace(replace(trim(regexp_replace(t, '<[^>]*>', ' ', 'g')), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')) >= 12) GROUP BY page_id, kind
 """)
 def article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.paragraphs(table(spark, sf_dir, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+    return pages.paragraphs(texts(spark, sf_dir, "pages", "page_id", "html")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_p, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_li FROM pages")
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = pages.elements(table(spark, sf_dir, "pages"))
+    e = pages.elements(texts(spark, sf_dir, "pages", "page_id", "html"))
     return e.groupBy("page_id").agg(F.sum((F.col("tag") == "p").cast("long")).alias("n_p"), F.sum((F.col("tag") == "li").cast("long")).alias("n_li"))
 
 
 @query()
 def article_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deepest element that holds four fifths of a page's characters, by running sums and one aggregate."""
-    sized = pages.subtree_chars(pages.elements(table(spark, sf_dir, "pages")).filter(~F.col("tag").isin("script", "style", "title")))
+    sized = pages.subtree_chars(pages.elements(texts(spark, sf_dir, "pages", "page_id", "html")).filter(~F.col("tag").isin("script", "style", "title")))
     total = sized.filter("node = 0").select(F.col("page_id").alias("p"), F.col("total").alias("all"))
     held = sized.join(total, F.col("page_id") == F.col("p")).filter(F.col("total") >= F.lit(0.8) * F.col("all"))
     return held.groupBy("page_id").agg(F.max_by("tag", F.struct("depth", -F.col("node"))).alias("tag"), F.max("depth").alias("depth"))
@@ -47,7 +48,7 @@ def article_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def enclosing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost paragraph, list item or heading around every link of a page."""
-    e = pages.elements(table(spark, sf_dir, "pages"))
+    e = pages.elements(texts(spark, sf_dir, "pages", "page_id", "html"))
     points = e.filter("tag = 'a'").select("page_id", F.col("node").alias("point"))
     blocks = e.filter(F.col("tag").isin("p", "li", "h1", "h2", "nav", "article")).select("page_id", F.col("node").alias("start"), "end", "depth", "tag")
     return locate.enclosing(points, blocks, "page_id").select("page_id", "point", "tag", "start")

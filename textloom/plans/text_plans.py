@@ -9,13 +9,13 @@ from ..functions import labels, text, titles
 from ..functions.chunk import chunk_spans, middle_split
 from ..functions.normalize import normalize
 from ..operators import evaluate, locate, paragraphs, plan
-from .catalog import query, table
+from .catalog import query, table, texts
 
 WS = text.WS
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
@@ -34,7 +34,7 @@ PARAGRAPHS = rf"""
 
 @query(PARAGRAPHS)
 def plain_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.paragraphs(table(spark, sf_dir, "documents"))
+    return paragraphs.paragraphs(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 CUM = f"SELECT doc_id, para, CAST(len(text) AS BIGINT) AS chars, CAST(coalesce(sum(len(text)) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_chars FROM ({PARAGRAPHS})"
@@ -42,7 +42,8 @@ CUM = f"SELECT doc_id, para, CAST(len(text) AS BIGINT) AS chars, CAST(coalesce(s
 
 @query(CUM)
 def cum_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.running_chars(plain_paragraphs(spark, sf_dir), "doc_id", "para").drop("text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return plan.running_in_row(docs.select("doc_id", paragraphs.paragraph_array(F.col("text")).alias("p")), "doc_id", "p", "para")
 
 
 @query(f"""
@@ -70,7 +71,7 @@ SELECT doc_id, {"regexp_replace(" * 12}text, '{text.INVISIBLE}', '', 'g'), '{tex
   {", ".join(f"'{p.replace(chr(39), chr(39) * 2)}', '{r.replace(chr(39), chr(39) * 2)}', 'g')" for p, r in text.PUNCTUATION)} AS t FROM documents))
 """)
 def citation_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.after_rules(text.before_rules(F.col("text"))).alias("said"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.after_rules(text.before_rules(F.col("text"))).alias("said"))
 
 
 @query(rf"""
@@ -219,7 +220,7 @@ def dup_text_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRAM = lambda c: f"list_transform(range(1, len({c})), lambda i: {c}[i] || ' ' || {c}[i + 1])"
-TOK = r"regexp_extract_all(regexp_replace(lower(text), '[’‘`]', '''', 'g'), '[\p{L}\p{N}]+(?:''\p{L}+)?')"
+TOK = r"regexp_extract_all(regexp_replace(strip_accents(lower(text)), '[’‘`]', '''', 'g'), '[\p{L}\p{N}]+(?:''\p{L}+)?')"
 FOUND = rf"""
 WITH b AS (SELECT source AS page, item_id AS block, {TOK} AS t, text FROM benchmark, (SELECT DISTINCT source FROM documents)),
 x AS (SELECT DISTINCT source AS page, unnest({GRAM("t")}) AS g FROM (SELECT source, {TOK} AS t FROM documents)),
@@ -229,10 +230,11 @@ SELECT u.page, u.block, avg(CASE WHEN x.g IS NULL THEN 0 ELSE 1 END) AS f FROM u
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("block"), "text")
-    sources = docs.select("page").distinct()
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("block"), "text")
-    return items.join(sources, F.lit(True)).withColumn("kind", F.when(F.length("text") < 150, "heading").otherwise("text")), docs
+    """Tokenised items, as reference blocks of every source, and documents, as what was extracted; the sources are few, and their number bounds the product."""
+    docs = texts(spark, sf_dir, "documents", "source", "doc_id", "text").withColumnsRenamed({"source": "page", "doc_id": "block"})
+    extracted = evaluate.tokenised(docs, "page", "block")
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "block").withColumn("kind", F.when(F.length("text") < 150, "heading").otherwise("text"))
+    return evaluate.tokenised(items, "block", "kind").join(extracted.select("page").distinct(), F.lit(True)), extracted
 
 
 @query(FOUND)
@@ -290,7 +292,7 @@ def fixture_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def normalized_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through the rules and through the whole preparation; checked by expectation tables in tests."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize("text").cast("binary"), 256).alias("normalized"), F.sha2(text.speech("text").cast("binary"), 256).alias("said"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(normalize("text").cast("binary"), 256).alias("normalized"), F.sha2(text.speech("text").cast("binary"), 256).alias("said"))
 
 
 @query()
@@ -302,13 +304,13 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def middle_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", middle_split("text").alias("x")).select("doc_id", F.length("x.head").alias("head_chars"), F.length("x.tail").alias("tail_chars"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", middle_split("text").alias("x")).select("doc_id", F.length("x.head").alias("head_chars"), F.length("x.tail").alias("tail_chars"))
 
 
 @query()
 def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plain_paragraphs(spark, sf_dir).withColumn("kind", F.lit("text"))
-    return plan.segments(p, "doc_id", F.lit(0)).select("doc_id", "seg_idx", "para", "start", "end", "pause_ms", "chars", "cum_chars", F.sha2(F.col("speech").cast("binary"), 256).alias("speech_sha256"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.transform(paragraphs.paragraph_array(F.col("text")), lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).alias("paragraphs"))
+    return plan.segments(docs, "doc_id", start_paragraph=0).select("doc_id", "seg_idx", "para", "start", "end", "pause_ms", "chars", "cum_chars", F.sha2(F.col("speech").cast("binary"), 256).alias("speech_sha256"))
 
 
 @query("""
@@ -340,4 +342,4 @@ def root_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.chunk import budget_parts as parts
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts("text", F.lit(500))).alias("n_parts"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(parts("text", F.lit(500))).alias("n_parts"))

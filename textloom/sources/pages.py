@@ -32,19 +32,26 @@ def lead_image(html: Column) -> Column:
     return F.try_element_at(good, F.lit(1))
 
 
-def paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, para, node, kind, text) of every page's article; a page without any gives no row."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
+def articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, paragraphs) of every page: an array of structs (node, kind, text) in order."""
+    rows = pages.select(F.col(id_col).cast("long").alias(id_col), *carry, html_col)
+    kept = rows.schema[:-1]
+    inner = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out = [(i, para, node, kind, text) for i, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for para, (node, kind, text) in enumerate(html_tree.paragraphs(html))]
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "para", "node", "kind", "text"])
+                found = [[dict(zip(("node", "kind", "text"), p, strict=True)) for p in html_tree.paragraphs(html)] for html in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, inner)], names=[*part.schema.names[: len(kept)], "paragraphs"])
+
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["paragraphs array<struct<node:bigint,kind:string,text:string>>"]))
 
-    return rows.mapInArrow(run, "id long, para long, node long, kind string, text string").withColumnRenamed("id", id_col)
+
+def paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, para, node, kind, text) of every page's article; a page without any gives no row."""
+    found = articles(pages, id_col, html_col).select(id_col, F.posexplode("paragraphs").alias("para", "p"))
+    return found.select(id_col, F.col("para").cast("long").alias("para"), "p.*")
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

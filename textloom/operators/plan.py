@@ -88,6 +88,34 @@ def seek(rows: DataFrame, key: str, fractions: list[float], index: str) -> DataF
     return targets.filter(F.col("cum_chars") <= clamped * F.col("total")).groupBy(key, "p").agg(F.max_by(index, F.struct("cum_chars", index)).alias(index))
 
 
+def seek_by_seconds(rows: DataFrame, key: str, index: str, elapsed: Column, deltas: list[float]) -> DataFrame:
+    """(key, delta, index): where reading stands so many seconds from `elapsed`, a column over seconds, the whole time of the key; keys without time give no row."""
+    totals = rows.groupBy(F.col(key).alias("__k")).agg(F.sum("chars").alias("total")).filter("total > 0").withColumn("seconds", F.col("total") * F.lit(SECONDS_PER_CHAR))
+    wanted = totals.withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas]))).withColumn("p", (elapsed + F.col("delta")) / F.col("seconds"))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))
+    met = rows.join(wanted, F.col(key) == F.col("__k")).filter(F.col("cum_chars") <= clamped * F.col("total"))
+    return met.groupBy(key, "delta").agg(F.max_by(index, F.struct("cum_chars", index)).alias(index))
+
+
+def back_target(para: Column, previous: Column, is_first: Column, seconds_in: Column) -> Column:
+    """Where a step back leads: to the start of the paragraph, or, from its first 2.5 seconds, to the one before, if there is one."""
+    return F.when(is_first & (seconds_in < 2.5), F.coalesce(previous, para)).otherwise(para)
+
+
+def buffer_offset(now: Column, started: Column, duration: Column) -> Column:
+    """Seconds into the sound that plays, never before its start or past its end."""
+    return F.greatest(F.lit(0.0), F.least(now - started, duration))
+
+
+def with_edges(samples: Column, pause_ms: Column, rate: int = 24_000, fade: int = 72) -> Column:
+    """Sound with both edges faded linearly over `fade` samples, or half of it, and silence of a pause behind."""
+    n = F.least(F.lit(fade), F.floor(F.size(samples) / 2).cast("int"))
+    gain = lambda i: F.when(i < n, i.cast("double") / n).otherwise(F.lit(1.0))
+    faded = F.transform(samples, lambda x, i: x.cast("double") * gain(i) * gain(F.size(samples) - 1 - i))
+    silence = F.floor(pause_ms / 1000 * rate + F.lit(0.5).cast("double")).cast("int")
+    return F.concat(faded, F.array_repeat(F.lit(0.0), silence))
+
+
 def first_at_or_after(rows: DataFrame, key: str, para: str, index: str) -> DataFrame:
     """For each paragraph number of a key, the first row of it or a later one."""
     after = Window.partitionBy(key).orderBy(para).rangeBetween(0, Window.unboundedFollowing)

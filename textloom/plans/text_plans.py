@@ -302,11 +302,59 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.max(F.col("s.end") - F.col("s.start")).alias("longest"), F.sum("s.pause_ms").alias("pause_ms"))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, text, len(text) AS n FROM documents), p AS (
+  SELECT doc_id, n, m, CAST(generate_subscripts(string_split(text, mark), 1) AS BIGINT) AS i, len(unnest(string_split(text, mark))) + 1 AS size FROM d, (VALUES (1, ';'), (2, ':'), (3, ',')) v(m, mark)
+  UNION ALL SELECT doc_id, n, 4, CAST(generate_subscripts(regexp_split_to_array(text, '[{WS}]'), 1) AS BIGINT), len(unnest(regexp_split_to_array(text, '[{WS}]'))) + 1 FROM d),
+e AS (SELECT doc_id, n, m, sum(size) OVER (PARTITION BY doc_id, m ORDER BY i) AS place, i < count(*) OVER (PARTITION BY doc_id, m) AS inner_ FROM p),
+f AS (SELECT doc_id, n, m, arg_min(place, (abs(place - n / 2), place)) AS place FROM e WHERE inner_ AND place BETWEEN 8 AND n - 8 GROUP BY doc_id, n, m),
+g AS (SELECT doc_id, arg_min(place, m) AS place FROM f WHERE m = 4 OR abs(place - n / 2) <= 0.3::DOUBLE * n GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN place IS NOT NULL THEN len({TRIM("substr(text, 1, CAST(place AS BIGINT))")}) WHEN n > 1 THEN n // 2 END AS INT) AS head_chars, CAST(CASE WHEN place IS NOT NULL THEN len({TRIM("substr(text, CAST(place AS BIGINT) + 1)")}) WHEN n > 1 THEN n - n // 2 END AS INT) AS tail_chars FROM d LEFT JOIN g USING (doc_id)
+""")
 def middle_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", middle_split("text").alias("x")).select("doc_id", F.length("x.head").alias("head_chars"), F.length("x.tail").alias("tail_chars"))
 
 
+SOLID = lambda c: rf"len(regexp_replace({c}, '[\s{WS}]+', '', 'g'))"
+
+
+@query(rf"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paras, CAST(sum({SOLID("text")}) AS BIGINT) AS solid, true AS ordered, true AS short_enough, true AS at_spaces, CAST(sum(CASE WHEN len(text) <= 140 THEN 1 ELSE 0 END) AS BIGINT) AS whole, CAST(count(*) * 450 AS BIGINT) AS last_pauses
+FROM ({PARAGRAPHS}) GROUP BY doc_id
+""")
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What spans must keep of every paragraph: all that is no white space, in order, cut at white space, no span too long that has a gap between plain words, short paragraphs whole, a long pause at the end."""
+    p = plain_paragraphs(spark, sf_dir).withColumn("spans", chunk_spans("text", F.lit("text"), F.lit(False)))
+    cut = lambda s: F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    pieces = F.transform("spans", cut)
+    solid = F.length(F.regexp_replace(F.array_join(pieces, ""), rf"[\s{WS}]+", ""))
+    pairs = F.zip_with(F.slice("spans", F.lit(1), F.size("spans") - 1), F.slice("spans", F.lit(2), F.size("spans") - 1), lambda a, b: F.struct(a["end"].alias("end"), b["start"].alias("start")))
+    between = F.transform(pairs, lambda g: F.substr(F.col("text"), g["end"] + 1, g["start"] - g["end"]))
+    facts = p.select(
+        "doc_id", solid.alias("solid"), F.forall(pairs, lambda g: g["end"] <= g["start"]).alias("ordered"), F.forall(pieces, lambda t: (F.length(t) <= 420) | ~t.rlike(rf"\p{{L}}{{2,}}[{WS}]+\p{{L}}{{2,}}")).alias("short_enough"),
+        F.forall(between, lambda t: t.rlike(rf"^[{WS}]+$")).alias("at_spaces"), ((F.length("text") <= 140) & (F.size("spans") == 1)).cast("long").alias("whole"), F.element_at("spans", -1)["pause_ms"].alias("pause"),
+    )
+    return facts.groupBy("doc_id").agg(F.count("*").alias("n_paras"), F.sum("solid").alias("solid"), *[F.bool_and(c).alias(c) for c in ("ordered", "short_enough", "at_spaces")], F.sum("whole").alias("whole"), F.sum("pause").alias("last_pauses"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paras, CAST(sum(len(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g'))) AS BIGINT) AS solid FROM ({PARAGRAPHS}) WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]') GROUP BY doc_id)
+SELECT doc_id, n_paras, solid, true AS numbered, true AS summed, true AS said FROM s
+""")
+def plan_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reading plan must keep of every document that says something: its paragraphs, letters and digits, segments numbered without gaps, sums that add up, and speech that ends in a mark without links or markup."""
+    from pyspark.sql import Window
+
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.transform(paragraphs.paragraph_array(F.col("text")), lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).alias("paragraphs"))
+    seg = plan.segments(docs, "doc_id", start_paragraph=0)
+    w = Window.partitionBy("doc_id").orderBy("seg_idx")
+    before = F.coalesce(F.lag(F.col("cum_chars") + F.col("chars")).over(w), F.lit(0))
+    seg = seg.withColumn("summed", before == F.col("cum_chars")).withColumn("numbered", F.row_number().over(w) - 1 == F.col("seg_idx"))
+    said = F.col("speech").rlike(r"[.!?…:;,\"')\]]$") & ~F.col("speech").rlike(r"https?://|[*_#`~^|<>{}\\&/]") & ~F.col("speech").rlike(rf"[{WS}]{{2,}}")
+    solid = F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")))
+    return seg.groupBy("doc_id").agg(F.countDistinct("para").alias("n_paras"), solid.alias("solid"), F.bool_and("numbered").alias("numbered"), F.bool_and("summed").alias("summed"), F.bool_and(said).alias("said"))
+
+
 @query()
 def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.transform(paragraphs.paragraph_array(F.col("text")), lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).alias("paragraphs"))

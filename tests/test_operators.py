@@ -198,3 +198,50 @@ def test_session_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", ["article_stats", "cum_chars", "seek_asof", "session_gap", "tier_table", "page_host", "bigram_found"])
 def test_registered(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def said_kinds(page):
+    return [(k, t) for _, k, t in html_tree.paragraphs(page)]
+
+
+def test_captions_and_bold_leads():
+    body = f"<p>{LONG}</p>"
+    got = said_kinds(f"<article>{body}<figure><img></figure><h6>A caption of the picture above</h6><h6>No caption</h6>{body}</article>")
+    assert got[1:3] == [("text", "A caption of the picture above"), ("heading", "No caption")]
+    long_figure = f"<figure><img><figcaption>{LONG}</figcaption></figure>"
+    assert said_kinds(f"<article>{body}{long_figure}<h5>Next part</h5>{body}</article>")[2] == ("heading", "Next part")
+    got = said_kinds(f"<article><p><span><strong>Lead <b>line</b></strong></span><br>Then the text goes on.</p><p>Text with <b>bold</b><br>inside it.</p><p><b>Only</b><br>short</p>{body}</article>")
+    assert got == [("heading", "Lead line"), ("text", "Then the text goes on."), ("text", "Text with bold inside it."), ("text", "Only short"), ("text", LONG)] or got[:3] == [("heading", "Lead line"), ("text", "Then the text goes on."), ("text", "Text with bold inside it.")]
+
+
+def test_roots():
+    # a lone paragraph is read from its container, a wrapper three times as long gives way to the landmark
+    assert said_kinds(f"<body><div><p>{LONG}</p><ul><li>An item beside it</ul></div></body>") == [("text", LONG), ("list", "An item beside it")]
+    page = f"<body><div><div>{'filler words here ' * 200}</div><main><p>{LONG}</p><p>{LONG}</p></main><div><p>{LONG}</p></div></div></body>"
+    assert said_kinds(page) == [("text", LONG)] * 2
+
+
+def test_headings_before_the_root():
+    inner = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    long = f"<div>{f'<p>{LONG}</p>' * 40}</div>"
+    got = said_kinds(f"<head><title>The real name</title></head><body><div><div><h1>Some site</h1></div><div><h1>The real name</h1></div><h2>Its deck</h2>{long}</div></body>")
+    assert got[:2] == [("heading", "The real name"), ("heading", "Its deck")]
+    # the page is short: the root widens to what holds the title and its lede
+    got = said_kinds(f"<body><div><section><h1>The name</h1><p>Lede in a section of its own.</p></section>{inner}</div></body>")
+    assert got[:2] == [("heading", "The name"), ("text", "Lede in a section of its own.")]
+    assert said_kinds(f"<article><p>{LONG}</p><div>March 12, 2026 — Words of the loose run.<p>{LONG}</p></div></article>")[1] == ("text", "Words of the loose run.")
+
+
+def test_chunking_stays_under_its_ceiling():
+    from textloom.functions.chunk import chunk
+
+    prose = " ".join(f"Sentence {i} of the article says, as Mr. Smith did, that 3.5 km is far; it goes on because it must." for i in range(250))
+    chunk(prose), chunk(prose)
+    best = min(_timed(lambda: chunk(prose)) for _ in range(5))
+    assert len(prose.split()) >= 5000 and best < 0.02
+
+
+def _timed(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began

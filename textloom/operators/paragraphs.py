@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROMO_INLINE, PROMO_LABEL, collapse, let, trim
+from ..functions.titles import SEPARATOR, clean_title
 
 
 def _parts(text: Column, separator: str, longer_than: int) -> Column:
@@ -67,3 +68,17 @@ def drop_promos(rows: DataFrame, key: str, order: str) -> DataFrame:
     marked = rows.withColumn("__label", last_label).withColumn("__stop", last_stop)
     run = F.col("__label").isNotNull() & (F.col("__stop").isNull() | (F.col("__stop") <= F.col("__label")))
     return marked.filter(~(label | inline | run)).drop("__label", "__stop")
+
+
+def title_first(found: Column, title: Column, heading: Column, window_title: Column) -> Column:
+    """An array of structs (kind, text, ...) with the spoken title as a heading before it, unless one of its first three texts says it.
+
+    The first may be, begin with or begin a part of the title or of the window's title; the others must be one; the article's own h1 counts anywhere.
+    """
+    parts = F.transform(F.filter(F.transform(F.concat(F.split(F.coalesce(title, F.lit("")), SEPARATOR, -1), F.split(F.coalesce(window_title, F.lit("")), SEPARATOR, -1)), trim), lambda p: p != ""), F.lower)
+    begins = lambda t: F.exists(parts, lambda p: F.startswith(p, t) | F.startswith(t, p))
+    says = lambda t, i: F.coalesce(t == F.lower(heading), F.lit(False)) | F.when(i == 0, begins(t)).otherwise(F.array_contains(parts, t))
+    opening = F.transform(F.slice(found, 1, 3), lambda p, i: says(F.lower(p["text"]), i))
+    spoken = clean_title(title)
+    said = (F.coalesce(title, F.lit("")) == "") | F.exists(opening, lambda x: x) | (F.length(spoken) <= 2)
+    return F.when(said, found).otherwise(F.concat(F.array(F.struct(F.lit("heading").alias("kind"), spoken.alias("text"))), F.transform(found, lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text")))))

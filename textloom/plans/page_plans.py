@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import choose_title
-from ..operators import locate, plan
+from ..operators import locate, paragraphs, plan
 from ..sources import pages
 from .catalog import query, table, texts
 
@@ -15,8 +15,11 @@ from .catalog import query, table, texts
 def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: title, paragraphs, segments, characters and seconds of reading."""
     title = choose_title(pages.meta(F.col("html"), "property", "og:title"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit(None).cast("string"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    raw = texts(spark, sf_dir, "pages", "page_id", "html").withColumn("title", title)
-    segments = plan.segments(pages.articles(raw, carry=("title",)), "page_id", start_paragraph=0, carry=("title",), outer=True)
+    window = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    raw = texts(spark, sf_dir, "pages", "page_id", "html").withColumn("title", title).withColumn("window", window)
+    found = pages.articles(raw, carry=("title", "window")).withColumn("paragraphs", F.transform("paragraphs", lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"))))
+    found = found.withColumn("paragraphs", paragraphs.title_first(F.col("paragraphs"), F.col("title"), F.lit(None).cast("string"), F.col("window")))
+    segments = plan.segments(found, "page_id", start_paragraph=0, carry=("title",), outer=True)
     counted = F.count("seg_idx")
     stats = (F.when(counted > 0, F.countDistinct("para")), F.when(counted > 0, counted), F.sum("chars"), F.sum("chars") * plan.SECONDS_PER_CHAR + F.sum("pause_ms") / 1000)
     return segments.groupBy("page_id", "title").agg(*[c.alias(n) for c, n in zip(stats, ("n_paras", "n_segments", "total_chars", "est_seconds"), strict=True)])

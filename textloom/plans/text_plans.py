@@ -37,6 +37,26 @@ def plain_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.paragraphs(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query(rf"""
+WITH l AS (SELECT doc_id, list(text ORDER BY para) AS t FROM ({PARAGRAPHS}) GROUP BY doc_id), p AS (SELECT *, CASE WHEN t[3] IS NULL OR regexp_matches(t[3], '[|–—·•-]') THEN 'none at all' ELSE t[3] END AS x FROM l),
+n AS (SELECT doc_id, t, x, CASE doc_id % 5 WHEN 0 THEN substr(t[1], 1, 8) WHEN 1 THEN 'Another name - Site ' || doc_id WHEN 2 THEN '' WHEN 3 THEN 'Paper | ' || x ELSE 'ab' END AS title FROM p),
+s AS (SELECT *, title = '' OR len(title) <= 2 OR (doc_id % 5 = 0) OR (doc_id % 5 = 3 AND (list_contains(list_transform(t[2:3], lambda x: lower(x)), lower(x)) OR starts_with('paper', lower(t[1])) OR starts_with(lower(t[1]), 'paper') OR starts_with(lower(t[1]), lower(x)) OR starts_with(lower(x), lower(t[1]))))
+  OR (doc_id % 5 = 1 AND (starts_with('another name', lower(t[1])) OR starts_with('site ' || doc_id, lower(t[1])))) AS said FROM n)
+SELECT doc_id, CAST(len(t) + CASE WHEN said THEN 0 ELSE 1 END AS INT) AS n, CASE WHEN said THEN 'text' ELSE 'heading' END AS kind, CASE WHEN said THEN sha256(t[1]) WHEN doc_id % 5 = 1 THEN sha256('Another name') ELSE sha256(CASE WHEN len(x) > 5 THEN regexp_replace(regexp_replace(x, '^[{WS}]+', ''), '[{WS}]+$', '') ELSE 'Paper' END) END AS first FROM s
+""")
+def title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under a title that they open with, do not have, say third, or that says nothing."""
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn("t", paragraphs.paragraph_array(F.col("text"))).filter(F.size("t") > 0)
+    t3 = F.try_element_at("t", F.lit(3))
+    third = F.when(t3.isNull() | t3.rlike("[|–—·•-]"), "none at all").otherwise(t3)
+    case = F.col("doc_id") % 5
+    title = F.when(case == 0, F.substring(F.element_at("t", 1), 1, 8)).when(case == 1, F.concat(F.lit("Another name - Site "), "doc_id")).when(case == 2, "").when(case == 3, F.concat(F.lit("Paper | "), third)).otherwise("ab")
+    found = F.transform("t", lambda x: F.struct(F.lit("text").alias("kind"), x.alias("text")))
+    out = d.withColumn("title", title).withColumn("p", paragraphs.title_first(found, F.col("title"), F.lit(None).cast("string"), F.lit("")))
+    first = F.element_at("p", 1)
+    return out.select("doc_id", F.size("p").alias("n"), first["kind"].alias("kind"), F.sha2(first["text"].cast("binary"), 256).alias("first"))
+
+
 CUM = f"SELECT doc_id, para, CAST(len(text) AS BIGINT) AS chars, CAST(coalesce(sum(len(text)) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_chars FROM ({PARAGRAPHS})"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .normalize import normalize_text, pattern
+from .normalize import normalize_text
 
 # Character classes and patterns that the results depend on.
 #: Every kind of white space, for use inside a character class of Java and RE2 patterns.
@@ -34,6 +34,9 @@ INVISIBLE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]"
 CITATION = r"(?i)\[(?:\d{1,3}|[a-z]|citation needed|edit|note \d+)\]"
 URL = rf"(?i)\b(?:https?://|www\.)[^{WS})]+"
 EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+#: (pattern, replacement) before normalization.
+BEFORE = [(INVISIBLE, ""), (CITATION, ""), (URL, "link"), (EMAIL, "email address")]
+ENDED = "[.!?…:;,\"')\\]]$"
 #: (pattern, replacement) after normalization.
 PUNCTUATION = [
     ("[“”«»]", '"'), ("[‘’]", "'"), (f"[{WS}]*[—–][{WS}]*", ", "), (rf"[{WS}]*\.{{3,}}[{WS}]*", "… "), ("&", " and "), (f"[{WS}]*/[{WS}]*", " "), (r"[*_#`~^|<>{}\\]", " "), (f"[{WS}]+", " "),
@@ -115,33 +118,46 @@ def matches_title(a: Column, b: Column) -> Column:
 
 def before_rules(c: Column) -> Column:
     """Invisible characters, citation marks, links and addresses."""
-    steps = ((INVISIBLE, ""), (CITATION, ""), (URL, "link"), (EMAIL, "email address"))
-    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, c)
+    return reduce(lambda t, s: F.regexp_replace(t, *s), BEFORE, c)
 
 
 def after_rules(c: Column) -> Column:
     """Quotes, dashes, dots, slashes, markup and white space; a full stop where no mark ends the text."""
     t = trim(reduce(lambda t, s: F.regexp_replace(t, *s), PUNCTUATION, c))
-    return F.when((t != "") & ~t.rlike("[.!?…:;,\"')\\]]$"), F.concat(t, F.lit("."))).otherwise(t)
+    return F.when((t != "") & ~t.rlike(ENDED), F.concat(t, F.lit("."))).otherwise(t)
 
 
-_PICTURES = regex.compile(r"[\p{Extended_Pictographic}‍️]")
-_BEFORE = [(pattern(r"[­​-‏⁠﻿]"), ""), (pattern(r"\[(?:\d{1,3}|[a-z]|citation needed|edit|note \d+)\]", regex.I), ""), (pattern(r"\b(?:https?:\/\/|www\.)[^\s)]+", regex.I), "link"), (pattern(EMAIL), "email address")]
-_AFTER = [(pattern(p), r) for p, r in (("[“”«»]", '"'), ("[‘’]", "'"), (r"\s*[—–]\s*", ", "), (r"\s*\.{3,}\s*", "… "), ("&", " and "), (r"\s*\/\s*", " "), (r"[*_#`~^|<>{}\\]", " "), (r"\s+", " "))]
-_ENDED = regex.compile("[.!?…:;,\"')\\]]$")
+def compiled(source: str) -> regex.Pattern:
+    """A pattern of this module, written for Spark, for use in Python: the same classes, ASCII words and digits."""
+    return regex.compile(regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), source), regex.ASCII | regex.V0)
 
 
-def speech_text(text: str) -> str:
-    """One segment of display text as a voice should read it; runs after chunking, so offsets stay those of the original."""
+_PICTURES = regex.compile(r"[\p{Extended_Pictographic}\u200d\ufe0f]")
+_BEFORE, _AFTER, _ENDED = [(compiled(p), r) for p, r in BEFORE], [(compiled(p), r) for p, r in PUNCTUATION], compiled(ENDED)
+
+
+def cleaned(text: str, rules: Callable[[str], str] = lambda t: t) -> str:
+    """What stands before and after the rules, with the rules between."""
     for find, say in _BEFORE:
         text = find.sub(say, text)
-    text = normalize_text(_PICTURES.sub("", text))
+    text = rules(text)
     for find, say in _AFTER:
         text = find.sub(say, text)
     text = text.strip(" ")
     return text if not text or _ENDED.search(text) else text + "."
 
 
+def speech_text(text: str) -> str:
+    """One segment of display text as a voice should read it; runs after chunking, so offsets stay those of the original."""
+    return cleaned(text, lambda t: normalize_text(_PICTURES.sub("", t)))
+
+
+@F.pandas_udf(T.StringType())
+def punctuated(text: pd.Series) -> pd.Series:
+    """The steps around the rules alone, as before_rules and after_rules have them."""
+    return text.map(cleaned, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def speech(text: pd.Series) -> pd.Series:
     return text.map(speech_text, na_action="ignore")

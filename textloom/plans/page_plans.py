@@ -48,7 +48,10 @@ def article_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("page_id").agg(F.max_by("tag", F.struct("depth", -F.col("node"))).alias("tag"), F.max("depth").alias("depth"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT page_id, CAST(generate_subscripts(x, 1) AS BIGINT) AS node, unnest(x) AS tag FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1) AS x FROM pages))
+SELECT a.page_id, a.node AS point, 'li' AS tag, max(b.node) AS start FROM t a JOIN t b ON b.page_id = a.page_id AND b.tag = 'li' AND b.node < a.node WHERE a.tag = 'a' GROUP BY a.page_id, a.node
+""")
 def enclosing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost paragraph, list item or heading around every link of a page."""
     e = pages.elements(texts(spark, sf_dir, "pages", "page_id", "html"))

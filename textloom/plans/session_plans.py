@@ -142,7 +142,17 @@ def kept_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("back", back).filter("back <= 3").select("user_id", "event_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'next' WHEN 'click' THEN 'toggle' WHEN 'purchase' THEN 'speed' ELSE 'result' END AS cmd, round(value, 1) AS v, event_id % 3 AS stamp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (
+  SELECT DISTINCT session, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS cmd, 'idle' AS status, 0::BIGINT AS para, 1.0::DOUBLE AS speed, 0::BIGINT AS epoch, false AS dropped FROM e
+  UNION ALL
+  SELECT session, n, seq, cmd, CASE WHEN cmd = 'start' THEN 'starting' WHEN cmd = 'toggle' AND status IN ('playing', 'buffering', 'starting') THEN 'paused' WHEN cmd = 'toggle' THEN 'buffering' WHEN cmd = 'result' AND stamp = epoch AND status IN ('starting', 'buffering') THEN 'playing' ELSE status END,
+    CASE cmd WHEN 'start' THEN 0 WHEN 'next' THEN para + 1 ELSE para END, CASE WHEN renewed AND cmd = 'speed' THEN v ELSE speed END, epoch + renewed::INT, cmd = 'result' AND stamp <> epoch FROM (
+    SELECT e.*, f.status, f.para, f.speed, f.epoch, e.cmd = 'start' OR (e.cmd = 'speed' AND e.v > 0 AND e.v <> f.speed) AS renewed FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1)
+)
+SELECT session, seq, cmd, status, para, speed, epoch, dropped FROM f WHERE n > 0
+""")
 def player_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session processor over a finished table; the stream gives the same rows, which tests check."""
     from ..streaming.sessions import play_batch

@@ -85,15 +85,24 @@ def time_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("seconds"), labels.clock_label(s).alias("label"), labels.time_left(s).alias("left_label"), F.when(s >= 90, "long").otherwise("short").alias("size"))
 
 
-@query(f"""
+SAID = f"""
 SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?…:;,"'')\\]]$') THEN t || '.' ELSE t END AS said FROM (SELECT doc_id, {TRIM('t')} AS t FROM (
 SELECT doc_id, {"regexp_replace(" * 12}text, '{text.INVISIBLE}', '', 'g'), '{text.CITATION}', '', 'g'), '{text.URL}', 'link', 'g'), '{text.EMAIL}', 'email address', 'g'),
   {", ".join(f"'{p.replace(chr(39), chr(39) * 2)}', '{r.replace(chr(39), chr(39) * 2)}', 'g')" for p, r in text.PUNCTUATION)} AS t FROM documents))
-""")
+"""
+
+
+@query(SAID)
 def citation_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.after_rules(text.before_rules(F.col("text"))).alias("said"))
 
 
+@query(SAID)
+def speech_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same steps as segments get them, in Python around the rules."""
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.punctuated("text").alias("said"))
+
+
 @query(rf"""
 WITH l AS ({LINES})
 SELECT doc_id, line, regexp_matches(text, '[\p{{L}}\p{{N}}]') AS speakable, like_sentence, len(text) < 60 AND NOT like_sentence AND (regexp_matches(text, '(?i){text.META}') OR regexp_matches(text, '(?i){text.DATE}')) AS meta

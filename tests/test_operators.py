@@ -245,3 +245,21 @@ def _timed(f):
     began = time.perf_counter()
     f()
     return time.perf_counter() - began
+
+
+def test_upsert_keeps_the_last_whole_version(spark, tmp_path):
+    from textloom.streaming.sessions import latest_version, read_latest, upsert_latest
+
+    path = str(tmp_path / "prefs")
+    frame = lambda rows: spark.createDataFrame(rows, "user long, at long, speed double")
+    assert latest_version(spark, path) is None
+    upsert_latest(frame([(1, 1, 1.0), (2, 5, 1.5)]), path, "user", "at")
+    upsert_latest(frame([(1, 3, 2.0), (2, 4, 0.75), (3, 1, 1.25)]), path, "user", "at")
+    want = [(1, 3, 2.0), (2, 5, 1.5), (3, 1, 1.25)]
+    assert sorted(map(tuple, read_latest(spark, path).collect())) == want
+    # a write that never came to its end leaves a folder without its mark
+    frame([(9, 9, 9.0)]).write.parquet(f"{path}/v000000000099")
+    os.remove(f"{path}/v000000000099/_SUCCESS")
+    assert sorted(map(tuple, read_latest(spark, path).collect())) == want
+    upsert_latest(frame([(1, 3, 2.0), (2, 4, 0.75)]), path, "user", "at")
+    assert sorted(map(tuple, read_latest(spark, path).collect())) == want

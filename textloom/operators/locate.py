@@ -48,8 +48,8 @@ def pair_equal(left: DataFrame, right: DataFrame, text: str, order_left: str, or
 def enclosing(points: DataFrame, intervals: DataFrame, page: str) -> DataFrame:
     """Points (page, point) with the innermost interval (page, id, start, end, depth) that holds them; always joined by page, so never a nested loop over pages."""
     met = points.join(intervals, page).filter((F.col("start") <= F.col("point")) & (F.col("point") <= F.col("end")))
-    best = Window.partitionBy(page, "point").orderBy(F.col("depth").desc(), F.col("start").desc())
-    return met.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
+    inner = F.max(F.struct("depth", "start", *[c for c in intervals.columns if c not in (page, "depth", "start")]))
+    return met.groupBy(page, "point").agg(inner.alias("__i")).select(page, "point", "__i.*")
 
 
 def in_document(hay: str, needle: str, start: str) -> Column:

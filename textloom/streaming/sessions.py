@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,13 +82,25 @@ def play(commands: DataFrame) -> DataFrame:
 
 
 def play_batch(commands: DataFrame) -> DataFrame:
-    """The same over a finished table."""
-    names = [c.split()[0] for c in OUTPUT.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf.session.iloc[0], *r) for r in fold(_rows(pdf))[0]], columns=names)
-
-    return commands.groupBy("session").applyInPandas(run, OUTPUT)
+    """The same over a finished table: rows sorted within partitions, so that a task holds one state and one batch, however long a session is."""
+    schema = pa.schema([("session", pa.string()), ("seq", pa.int64()), ("cmd", pa.string()), ("status", pa.string()), ("para", pa.int64()), ("speed", pa.float64()), ("voice", pa.string()), ("epoch", pa.int64()), ("dropped", pa.bool_())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state, last, first = None, START, -1, True
+        for b in batches:
+            out = []
+            for key, seq, cmd, value, stamp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if first or key != session:
+                    session, state, last, first = key, START, -1, False
+                if seq > last:
+                    state, dropped = step(state, cmd, value, stamp)
+                    last = seq
+                    out.append((session, seq, cmd, *state, dropped))
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    rows = commands.select("session", F.col("seq").cast("long"), "cmd", "value", F.col("stamp").cast("long"))
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(run, OUTPUT)
 
 
 def progress_changes(events: DataFrame, ts: str = "ts", session: str = "session", pct: str = "pct", late: str = "10 minutes") -> DataFrame:
@@ -95,14 +108,33 @@ def progress_changes(events: DataFrame, ts: str = "ts", session: str = "session"
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([session, pct])
 
 
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """The newest whole version of a table that upsert_latest() keeps: the folder of the highest number that was committed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    whole = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(whole, default=None)
+
+
 def upsert_latest(batch: DataFrame, path: str, key: str, order: str) -> None:
-    """For foreachBatch: keep the newest row of each key in a Parquet folder, written anew beside the old one and then moved."""
+    """For foreachBatch: keep the newest row of each key in a Parquet folder.
+
+    Every batch writes a new version beside the last, which readers keep until the new one is committed; a batch that fails or is repeated
+    leaves the last version whole.  The version before goes afterwards.
+    """
     spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(path)) if fs.exists(target) else batch
+    last = latest_version(spark, path)
+    rows = batch if last is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{last}"))
     latest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-    latest.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    latest.write.mode("overwrite").parquet(f"{path}/v{0 if last is None else int(last[1:]) + 1:012d}")
+    if last is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{last}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{latest_version(spark, path)}")

@@ -138,10 +138,10 @@ def choose_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT page_id, c >= least(len(a), len(b)) * 0.8::DOUBLE AND (c >= 2 OR len(a) = len(b)) AND len(a) > 0 AND len(b) > 0 AS same FROM (
   SELECT page_id, a, b, len(list_filter(a, lambda w: list_contains(b, w))) AS c FROM (
-    SELECT page_id, regexp_extract_all(lower({TITLE}), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower(substr({H1}, 1, 30)), '[\\p{{L}}\\p{{N}}]+') AS b FROM pages))
+    SELECT page_id, regexp_extract_all(lower({TITLE}), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower({H1}), '[\\p{{L}}\\p{{N}}]+') AS b FROM pages))
 """)
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("page_id", text.matches_title(F.col("doc"), F.substring("h1", 1, 30)).alias("same"))
+    return _titled(spark, sf_dir).select("page_id", text.matches_title(F.col("doc"), F.col("h1")).alias("same"))
 
 
 @query(f"""
@@ -150,7 +150,7 @@ SELECT page_id, c >= least(len(a), len(b)) * 0.8::DOUBLE AND (c >= 2 OR len(a) =
     SELECT page_id, regexp_extract_all(lower({TITLE}), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower({H1}), '[\\p{{L}}\\p{{N}}]+') AS b FROM pages))
 """)
 def title_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """title_match over whole headings; its own SQL keeps the prefix."""
+    """The name under which title_match first compared whole headings."""
     return _titled(spark, sf_dir).select("page_id", text.matches_title(F.col("doc"), F.col("h1")).alias("same"))
 
 

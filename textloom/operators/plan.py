@@ -107,6 +107,20 @@ def buffer_offset(now: Column, started: Column, duration: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(now - started, duration))
 
 
+def chars_done(cum_chars: Column, chars: Column, offset: Column, duration: Column) -> Column:
+    """Characters spoken so far, a part of the segment that plays by the share of its sound."""
+    share = F.when(duration > 0, F.least(F.lit(1.0), F.try_divide(offset, duration))).otherwise(0.0)
+    return cum_chars + share * chars
+
+
+def snapshot(done: Column, total: Column, rate: Column, status: Column, offset: Column, speech: Column) -> Column:
+    """STRUCT<progress, elapsed, remaining, seg_progress>: remaining is unknown until the voice is there, and a segment's progress leaves its pause out."""
+    progress = F.when(total > 0, F.least(F.lit(1.0), F.try_divide(done, total))).otherwise(0.0)
+    remaining = F.when(~status.isin("loading", "starting"), F.greatest(F.lit(0.0), (total - done) * rate))
+    seg = F.when(speech > 0, F.least(F.lit(1.0), F.try_divide(offset, speech))).otherwise(0.0)
+    return F.struct(progress.alias("progress"), (done * rate).alias("elapsed"), remaining.alias("remaining"), seg.alias("seg_progress"))
+
+
 def with_edges(samples: Column, pause_ms: Column, rate: int = 24_000, fade: int = 72) -> Column:
     """Sound with both edges faded linearly over `fade` samples, or half of it, and silence of a pause behind."""
     n = F.least(F.lit(fade), F.floor(F.size(samples) / 2).cast("int"))

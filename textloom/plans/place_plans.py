@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels, titles
 from ..operators import locate, plan, sessions
 from ..sources import pages
 from .catalog import query, table, texts
@@ -184,3 +185,39 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site name and lead image of every page, given meta elements of each kind."""
     p = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.expr(META), "html"))
     return p.select("page_id", pages.site_name(F.col("html"), F.col("url")).alias("site"), pages.lead_image(F.col("html")).alias("image"))
+
+
+@query(f"""
+WITH c AS ({CUM}), s AS (SELECT doc_id, para, chars, cum_chars, sum(chars) OVER (PARTITION BY doc_id)::DOUBLE AS total, CASE para % 4 WHEN 0 THEN 'loading' WHEN 1 THEN 'starting' WHEN 2 THEN 'playing' ELSE 'paused' END AS status, (para * 5 % 12)::DOUBLE AS off, (para % 3 * 4)::DOUBLE AS speech FROM c),
+d AS (SELECT *, cum_chars + CASE WHEN speech > 0 THEN least(1.0::DOUBLE, off / (speech + 0.45::DOUBLE)) ELSE 0 END * chars AS done FROM s)
+SELECT doc_id, para, round(CASE WHEN total > 0 THEN least(1.0::DOUBLE, done / total) ELSE 0 END, 9) AS progress, round(done * (1.0::DOUBLE / 15), 6) AS elapsed, round(CASE WHEN status NOT IN ('loading', 'starting') THEN greatest(0.0::DOUBLE, (total - done) * (1.0::DOUBLE / 15)) END, 6) AS remaining, round(CASE WHEN speech > 0 THEN least(1.0::DOUBLE, off / speech) ELSE 0 END, 9) AS seg_progress FROM d
+""")
+def player_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs as the segments that play, in one of four states, some seconds in; some have no sound yet."""
+    from pyspark.sql import Window
+
+    c = cum_chars(spark, sf_dir).withColumn("total", F.sum("chars").over(Window.partitionBy("doc_id")).cast("double"))
+    speech, off = (F.col("para") % 3 * 4).cast("double"), (F.col("para") * 5 % 12).cast("double")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("loading", "starting", "playing", "paused")]), (F.col("para") % 4 + 1).cast("int"))
+    done = plan.chars_done(F.col("cum_chars"), F.col("chars"), off, F.when(speech > 0, speech + F.lit(0.45)).otherwise(0.0))
+    x = c.withColumn("s", plan.snapshot(done, F.col("total"), F.lit(plan.SECONDS_PER_CHAR), status, off, speech))
+    return x.select("doc_id", "para", F.round("s.progress", 9).alias("progress"), F.round("s.elapsed", 6).alias("elapsed"), F.round("s.remaining", 6).alias("remaining"), F.round("s.seg_progress", 9).alias("seg_progress"))
+
+
+@query("SELECT page_id, page_id % 9 <= 6 AS junk FROM pages")
+def junk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of every shape that names no article, and two that do."""
+    shapes = ["'ab'", "'https://x.example/' || page_id", "'@ann_' || page_id", "'Ann on X: \"words ' || page_id || '\" / X'", "'Ann ' || page_id || ' (@ann) on Twitter'", "'Ann (@ann' || page_id || ')'", "'Words ' || page_id || ' / X'", "'A name of page ' || page_id", "'www.x.example is down, page ' || page_id"]
+    title = F.expr("element_at(array(" + ", ".join(shapes) + "), cast(page_id % 9 + 1 as int))")
+    return table(spark, sf_dir, "pages").select("page_id", titles.is_junk_title(title).alias("junk"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'webgpu' WHEN 1 THEN 'wasm' ELSE 'cpu' END AS device, CASE WHEN event_id % 2 = 0 THEN 'fp16' ELSE 'q8' END AS dtype, CAST(CASE WHEN event_id % 5 = 0 THEN 7 ELSE event_id % 4 END AS INT) AS threads FROM events
+""")
+def tier_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A developer's choices, where there are any, in place of a tier's own."""
+    e = F.col("event_id")
+    own = F.struct(F.lit("cpu").alias("device"), F.lit("q8").alias("dtype"), (e % 4).cast("int").alias("threads"))
+    t = labels.override_tier(own, F.when(e % 3 == 0, "webgpu").when(e % 3 == 1, "wasm"), F.when(e % 2 == 0, "fp16"), F.when(e % 5 == 0, 7))
+    return table(spark, sf_dir, "events").select("event_id", t.alias("t")).select("event_id", "t.*")

@@ -1,5 +1,5 @@
 """Intermediate tables of these operators: those of the whole package."""
 
-from ..storage import materialize, release, shared_dir
+from ..storage import materialize, release, settle, share, shared_dir
 
-__all__ = ["materialize", "release", "shared_dir"]
+__all__ = ["materialize", "release", "settle", "share", "shared_dir"]

@@ -60,13 +60,14 @@ FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup paywall share sharing social related recommended recommendations comment comments commentlist disqus replies respond widget toolbar pagination pager skip search complementary contentinfo dialog".split()
 )
+HEADS = frozenset(["header", "masthead", "banner"])
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Words after which a token says what an element is combined with, not what it is.
 MODIFIERS = frozenset(["no", "has", "with", "without"])
 
 _CONTENT = re.compile(CONTENT_NAME)
 _CONTENT_TOKEN = re.compile(f"(?:{CONTENT_NAME})$")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,5000})>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -93,6 +94,8 @@ def _named(names: str) -> str:
             continue
         if any(w in COMMENTS for w in words):
             return "comments"
+        if words[-1] in HEADS and _CONTENT.search("-".join(words[:first])):
+            continue  # an article's or a post's own header holds its title
         # the last word says what it is, the first of what: a content-sidebar-wrap is content, an entry-footer or related-posts not
         if words[-1] in FURNITURE or not (content or _CONTENT.search("-".join(words[:first]))):
             found = "named"
@@ -143,6 +146,8 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[st
     zones: list[tuple[str, int, bool]] = []  # until a zone is closed, the characters before it
     size = 0
     articles, at, n, heading = 0, 0, len(page), False
+    last = n if "<!--" in page else page.rfind(">")  # no tag begins behind the last end of one
+    places: dict[str, list[int]] = {}  # of the open elements of each tag, so that no text or tag makes a search of the stack
 
     def top() -> tuple[str, str, int, bool, int]:
         return stack[-1] if stack else ("", "", 0, False, -1)
@@ -151,7 +156,7 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[st
         nonlocal size
         zone = top()[1]
         if raw and zone != "out":
-            inside_link = any(t[0] == "a" for t in stack)
+            inside_link = bool(places.get("a"))
             size += 0 if inside_link else len(raw.strip())
             if zone:
                 return
@@ -161,7 +166,8 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[st
                 linked.append(text)
 
     def drop(i: int) -> None:
-        for *_, zone in stack[i:]:
+        for name, *_, zone in stack[i:]:
+            places[name].pop()
             if zone >= 0:
                 kind, before, inside = zones[zone]
                 zones[zone] = (kind, size - before, inside)
@@ -177,19 +183,23 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[st
             pieces, linked = [], []
 
     def close(name: str, stop: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
+        """Close the innermost element of a tag, unless one of the `stop` tags is open inside it."""
+        if places.get(name):
+            i = places[name][-1]
+            if all(not places.get(x) or places[x][-1] <= i for x in stop):
                 drop(i)
-                return
-            if stack[i][0] in stop:
-                return
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at, last + 1)
+        if start < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        add(page[at:start])
+        m = _TOKEN.match(page, start)
+        if m is None:
+            add("<")
+            at = start + 1
+            continue
         at = m.end()
         # the second form takes tags whose quotes do not pair
         closing, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
@@ -236,6 +246,7 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[st
             number = len(zones)
             zones.append((own, size, article > 0 or main))
             own = "" if number in spared else own
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, "out" if own == "out" else zone or own, article, main or name == "main" or 'role="main"' in attributes, number))
     flush()
     drop(0)

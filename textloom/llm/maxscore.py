@@ -9,7 +9,7 @@ threshold.  The essential components are summed for all candidates left; the oth
 are probed only for candidates whose sum plus the bounds still open is competitive.
 Each shard of candidates returns its k best a query and the shards' lists are merged.
 
-Queries go to the shards in blocks of at most about QUERY_BLOCK rows, so what is
+Queries go to the shards in blocks of at most about QUERY_BYTES, so what is
 broadcast does not grow with the data.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, and rows of
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-QUERY_BLOCK = 32_768
-SHARD_ROWS = 262_144
+#: Bytes of query vectors that are broadcast at once, and of candidates that a task holds.
+QUERY_BYTES, SHARD_BYTES = 1 << 24, 1 << 27
 #: Fewer rows than this are not worth a shard of their own.
 LEAST_SHARD = 8_192
 BLOCK_ROWS = 256
@@ -132,11 +132,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     # an inner product and its partial sums stay within 4 times the largest square, so these types hold them exactly
     widest = 4.0 * (facts["norm"] or 0.0) * 8
     kind = np.float32 if widest < 2**24 else np.float64 if widest < 2**53 else np.int64
-    shards = max(-(-facts["n"] // SHARD_ROWS), min(-(-facts["n"] // LEAST_SHARD), spark.sparkContext.defaultParallelism), 1)
+    shards = max(-(-facts["n"] * dims * 8 // SHARD_BYTES), min(-(-facts["n"] // LEAST_SHARD), spark.sparkContext.defaultParallelism), 1)
     dealt = rows.repartition(shards)
     result = "query_uid long, query_id long, vec_id long, score long"
     schema = pa.schema([(n, pa.int64()) for n in ("query_uid", "query_id", "vec_id", "score")])
-    n_blocks = max(1, -(-(facts["queries"] or 0) // QUERY_BLOCK))
+    n_blocks = max(1, -(-(facts["queries"] or 0) * dims * 8 // QUERY_BYTES))
     found = None
     for block in range(n_blocks):
         mine = rows.filter(is_query & (F.pmod(F.xxhash64("uid"), F.lit(n_blocks)) == block)).toArrow()

@@ -415,7 +415,24 @@ def root_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(evaluate.accepted(part(d % 2 == 0), part(d % 2 == 1), part(d % 16 == 1)).alias("ok"))
 
 
-@query()
+def _near_middle(text_: str, mark: str) -> str:
+    """SQL for the end of the mark nearest the middle of a text of n characters, h of them in its first half; null for none."""
+    left = f"CASE WHEN instr(reverse(substr({text_}, 1, h)), '{mark}') > 0 AND h - instr(reverse(substr({text_}, 1, h)), '{mark}') + 1 BETWEEN 8 AND n - 8 THEN h - instr(reverse(substr({text_}, 1, h)), '{mark}') + 1 END"
+    right = f"CASE WHEN instr(substr({text_}, h + 1), '{mark}') > 0 AND h + instr(substr({text_}, h + 1), '{mark}') BETWEEN 8 AND n - 8 THEN h + instr(substr({text_}, h + 1), '{mark}') END"
+    return f"CASE WHEN ({left}) IS NULL THEN ({right}) WHEN ({right}) IS NULL OR n / 2 - ({left}) <= ({right}) - n / 2 THEN ({left}) ELSE ({right}) END"
+
+
+@query(rf"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, unnest(CASE WHEN e IS NULL THEN [substr(t, 1, h), substr(t, h + 1)] ELSE [{TRIM("substr(t, 1, e)")}, {TRIM("substr(t, e + 1)")}] END) FROM (
+    SELECT doc_id, t, h, CASE WHEN abs(a - n / 2) <= 0.3::DOUBLE * n THEN a WHEN abs(b - n / 2) <= 0.3::DOUBLE * n THEN b WHEN abs(c - n / 2) <= 0.3::DOUBLE * n THEN c ELSE d END AS e FROM (
+      SELECT doc_id, t, n, h, {_near_middle("t", ";")} AS a, {_near_middle("t", ":")} AS b, {_near_middle("t", ",")} AS c, {_near_middle("w", " ")} AS d FROM (
+        SELECT doc_id, t, regexp_replace(t, '[{WS}]', ' ', 'g') AS w, len(t) AS n, len(t) // 2 AS h FROM p WHERE len(t) > 500)))
+)
+SELECT doc_id, CAST(sum(CASE WHEN len(t) <= 500 THEN 1 ELSE 0 END) AS INT) AS n_parts FROM p GROUP BY doc_id
+""")
 def budget_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.chunk import budget_parts as parts
 

@@ -4,25 +4,28 @@ A document is the set of its distinct n-word shingles (one shingle of all words,
 fewer).  Shingles are ordered globally, rare ones first: by a level from a count
 sketch of fixed size over all documents, then by hash.  Two sets of Jaccard similarity t
 or more share a shingle among the first |x| - ceil(t |x|) + 1 of each, so sets that meet
-in a prefix shingle come together in a cluster, named by the smallest set of the shingle's group.
+in a prefix shingle come together in a cluster.  A cluster is named by the most central set of the
+shingle's group, its pivot: the one whose shingles are the most frequent on average, from which the others most likely stem.
 
-Clusters of sets that could not reach the overlap are taken apart by counts of
-members in hash buckets: the smaller counts of two sets sum to no less than their overlap.
+Before that, sets that cannot be similar to any are screened out.  Similar sets share not one prefix shingle but, the closer their sizes, the more
+of them, as shared shingles come in the same order in both; a set stays only if it shares enough with sets of some sizes.
 
 Inside a cluster the ordered sets form a trie.  A set walks the trie once for all
 others: partial overlaps are counted once a shared path, and a subtree is left as
 soon as what remains of the set and of the longest member below cannot reach the overlap
-needed.  The cluster's first set walks first; sets it links need no walk of their own, the others walk too.
-First every set joins only its smallest cluster, which links most of what is similar; then the clusters whose
-members are not all connected yet are gone through in full.  Clusters beyond BLOCK sets are cut into blocks, each with the first set; then
-the unlinked sets of every block walk the tries of all blocks, so no pair is missed and
-no task holds an unbounded cluster.
+needed.  The pivot walks first; sets connected with it need no walk of their own, the others walk too.
+
+Clusters of BLOCK sets or more are cut by size classes, whose neighbours alone can be similar, and these into blocks,
+each with the pivot.  The sets that no block and no other cluster has connected with the pivot then walk the tries of the other
+blocks of neighbouring classes.  So no pair is missed, no task holds an unbounded cluster, and every task gives
+at most one link a set, however many pairs are similar: links only join what is still apart.
 
 Equal sets are one from the start.  Components of the links come from star contractions.
 
 Defined cases: null and empty texts have no shingles and link with nothing, not even each other; repeated
 rows are equal sets; a row of null id can be linked but gives no component its name unless all
-are null; an empty table gives an empty result; other columns are ignored.  Sets are compared as 48-bit shingle hashes.
+are null; an empty table gives an empty result; other columns are ignored.  Sets are compared as 48-bit shingle hashes, of
+which 6 bits follow from the others through the level: 42 bits tell shingles of equal level apart.
 """
 
 from __future__ import annotations
@@ -31,17 +34,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
 from .components import components
-from .storage import materialize
+from .marks import Marks
+from .storage import materialize, share
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, CHUNK = 20, 1 << 14
-BITMAP_BITS = 25
 BLOCK = 256
+#: Shingles from this level on, of some 2^15 documents or more, are grouped by an aggregate and a join, which Spark splits, not in one task.
+HOT_LEVEL = 16
 #: Sets that a task remembers in order to pass each on once.
 REMEMBERED = 500_000
 U = np.uint64
@@ -86,26 +92,6 @@ def need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _buckets(h: np.ndarray) -> np.ndarray:
-    """The size of a set, in 4 bytes, then how many members fall in each of a power of two of buckets; all 255 where a byte does not hold a count."""
-    size = 1 << max(6, (len(h) // 4).bit_length())
-    counts = np.bincount(((h >> U(16)) & U(size - 1)).astype(np.int64), minlength=size)
-    counts = np.minimum(counts, 255) if counts.max() < 255 else np.full(size, 255)
-    return np.concatenate([np.array([len(h)], "<u4").view(np.uint8), counts.astype(np.uint8)])
-
-
-def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    m, n = int(a[:4].view("<u4")[0]), int(b[:4].view("<u4")[0])
-    if 100 * min(m, n) < percent * max(m, n):
-        return False
-    x, y = a[4:], b[4:]
-    if (x == 255).any() or (y == 255).any():
-        return True
-    size = min(len(x), len(y))
-    x, y = (v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (x, y))
-    return int(np.minimum(x, y).sum()) >= need(m, n, percent)
-
-
 class Trie:
     """Radix trie of ordered sets; each edge keeps its run of members as an array."""
 
@@ -146,7 +132,7 @@ class Trie:
             if 100 * long < percent * n or percent * short > 100 * n:
                 continue
             least = need(n, max(short, -(-percent * n // 100)), percent)
-            start, step, dead = 0, 32, False
+            start, step, dead = 0, 256, False
             while start < len(segment):
                 part = segment[start : start + step]
                 at = np.searchsorted(q, part)
@@ -164,34 +150,34 @@ class Trie:
         return out
 
 
-def links_within(names: list[int], sets: list[np.ndarray], percent: int, roots: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect what is similar among the sets, of which the first walks first; and the places of those that the first does not link."""
-    trie = Trie(sets)
-    group = list(range(len(sets)))
-    if roots is not None:  # what is connected already
-        group = [roots.index(r) for r in roots]
+class Joined:
+    """Which of some things are connected already."""
 
-    def find(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
+    def __init__(self) -> None:
+        self.to: dict[int, int] = {}
 
-    out: list[tuple[int, int]] = []
+    def find(self, x: int) -> int:
+        while self.to.get(x, x) != x:
+            self.to[x] = self.to.get(self.to[x], self.to[x])
+            x = self.to[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Connect two things; whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.to[y] = x
+        return x != y
 
-    def link(i: int, found: list[int]) -> None:
-        for j in found:
-            x, y = find(i), find(j)
-            if x != y:
-                group[y] = x
-                out.append((names[i], names[j]))
 
-    near = trie.similar(sets[0], percent)
-    link(0, near)
-    left = [i for i in range(1, len(sets)) if i not in set(near) and find(i) != find(0)]
-    for i in left:
-        link(i, trie.similar(sets[i], percent))
-    return out, left
+def links_within(sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Places of sets whose links connect what is similar, of which the first walks first, then those not connected with it; and the places never connected with it."""
+    trie, group = Trie(sets), Joined()
+    out: list[tuple[int, int]] = []
+    for i in range(len(sets)):
+        # of two similar sets one connected with the first, the other not, the other walks
+        if i == 0 or group.find(i) != group.find(0):
+            out += [(i, j) for j in trie.similar(sets[i], percent) if group.join(i, j)]
+    return out, [i for i in range(1, len(sets)) if group.find(i) != group.find(0)]
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -214,13 +200,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) of every row: key is the hash of its text, component_id the smallest id reachable by links."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+def _survey(rows: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
+    """((doc_id, key, n, name, twin) of every row, the levels of the slots)."""
     slots = 1 << SKETCH_BITS
-
-    first_pass = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("twin", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("twin", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size and names of every set; then the task's sketch, in chunks."""
@@ -229,15 +212,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             for a, z, h, offs in _sets(b.column(2), shingle):
                 sketch += np.bincount(_slots(h), minlength=slots)
                 n = z - a
-                yield ragged.batch(first_pass, b.column(0)[a:z], b.column(1)[a:z], np.diff(offs), ragged.signed(_names(h, offs, 1)), ragged.signed(_names(h, offs, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+                yield ragged.batch(schema, b.column(0)[a:z], b.column(1)[a:z], np.diff(offs), ragged.signed(_names(h, offs, 1)), ragged.signed(_names(h, offs, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
         if sketch.any():
             # counts beyond 16 bits saturate: such shingles are at the end of the order anyway
             low = np.minimum(sketch, 65535).astype("<u2")
             parts = [low[i : i + CHUNK].tobytes() for i in range(0, slots, CHUNK)]
             none = pa.nulls(len(parts), pa.int64())
-            yield ragged.batch(first_pass, none, none, none, none, none, np.arange(len(parts)), parts)
-
-    seen = materialize(rows.mapInArrow(survey, "doc_id long, key long, n long, name long, twin long, chunk int, counts binary"), "sets")
+            yield ragged.batch(schema, none, none, none, none, none, np.arange(len(parts)), parts)
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -247,228 +228,248 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if sums:
             yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
+    seen = materialize(rows.mapInArrow(survey, "doc_id long, key long, n long, name long, twin long, chunk int, counts binary"), "surveyed")
     sketched = seen.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(total, "chunk int, counts binary").toArrow()
     sketch = np.zeros(slots, np.int64)
     for chunk, counts in zip(sketched.column("chunk").to_pylist(), sketched.column("counts").to_pylist(), strict=True):
         sketch[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, "<u4")
-    levels = spark.sparkContext.broadcast(_levels(sketch))
-    members = seen.filter("chunk IS NULL").drop("chunk", "counts")
-
-    two = pa.schema([("token", pa.int64()), ("name", pa.int64()), ("place", pa.int64())])
+    return seen.filter("chunk IS NULL").drop("chunk", "counts"), _levels(sketch)
+
+
+def _unpacked(token: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, name, centrality, size, prefix place) in order of token, size and name, each set of a token once."""
+    central, n, at = place >> 55, (place >> 27) & ((1 << 28) - 1), place & ((1 << 27) - 1)
+    order = np.lexsort((name, n, token))
+    columns = tuple(x[order] for x in (token, name, central, n, at))
+    # the same set may come from several tasks
+    once = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+    return tuple(x[once] for x in columns)
+
+
+def least_shared(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix shingles that similar sets of m and n members share at least.
+
+    Of a prefix, at most the members that the sets do not share are missing in the other set, and shared members keep their order: the first ones of
+    them lie in both prefixes.  Two less than that, at least 1, so that the bound falls the further the sizes are apart, whatever is rounded.
+    """
+    overlap = -(-percent * (m + n) // (100 + percent))
+    prefix = lambda k: k + (-percent * k // 100) + 1
+    return np.maximum(np.minimum(prefix(m) - (m - overlap), prefix(n) - (n - overlap)) - 2, 1)
+
+
+def _needs(token: np.ndarray, name: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(name, need) of the sets that share their token with one of a size that allows a link: the least that it and any of those must share in all."""
+    token, name, _, n, _ = _unpacked(token, name, place)
+    group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+    key, own = (group << 30) + n, np.arange(len(n))
+    low = np.searchsorted(key, (group << 30) - (-percent * n // 100))
+    high = np.searchsorted(key, (group << 30) + 100 * n // percent, "right") - 1
+    some = high > low
+    low, high, own, n_own = low[some], high[some], own[some], n[some]
+    # the bound is least for the sizes furthest off
+    low, high = np.where(low == own, low + 1, low), np.where(high == own, high - 1, high)
+    return name[some], np.minimum(least_shared(n_own, n[low], percent), least_shared(n_own, n[high], percent))
+
+
+def _pairs(token: np.ndarray, name: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct rows (pivot, name) of whole groups of equal tokens; place: centrality, size and prefix place of the set, packed."""
+    token, name, central, n, at = _unpacked(token, name, place)
+    # sizes ascend inside a group: where one is too small for the next, nothing before is similar to anything after
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])
+    begins, part = np.flatnonzero(new), np.cumsum(new) - 1
+    best = np.lexsort((name, -central, part))[begins]
+    pivot = name[best][part]
+    pairs_only = begins[np.diff(np.append(begins, len(token))) == 2]
+    most = np.minimum(n - at, np.roll(n - at, -1))[pairs_only] + np.minimum(at, np.roll(at, -1))[pairs_only]
+    far = pairs_only[(100 + percent) * most < percent * (n[pairs_only] + np.roll(n, -1)[pairs_only])]
+    pivot[far], pivot[far + 1] = name[far], name[far + 1]
+    apart = pivot != name
+    return np.unique(np.stack([pivot[apart], name[apart]], axis=1), axis=0)
+
+
+def _tokens(rows: DataFrame, levels: Broadcast, shingle: int, percent: int, alive: Broadcast | None = None) -> DataFrame:
+    """(token, name, place) of every prefix shingle of every set, each set of a task once; with `alive` only of the sets that it marks."""
+    schema = pa.schema([("token", pa.int64()), ("name", pa.int64()), ("place", pa.int64())])
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for b in batches:
             for _, _, h, offs in _sets(b.column(0), shingle, levels.value):
-                raw = _names(h, offs, 1)
-                n = np.diff(offs)
+                raw, n = _names(h, offs, 1), np.diff(offs)
+                central = np.minimum(4 * ragged.row_sums((h >> U(58)).astype(np.int64), offs) // np.maximum(n, 1), 255)
                 fresh = np.zeros(len(n), bool)
-                for i, name in enumerate(raw.tolist()):
-                    if n[i] and name not in passed:
+                for i in np.flatnonzero((n > 0) & (alive.value.marked(raw) if alive is not None else True)).tolist():
+                    if int(raw[i]) not in passed:
                         fresh[i] = True
-                        passed.add(name)
+                        passed.add(int(raw[i]))
                 if len(passed) > REMEMBERED:
                     passed.clear()
                 take = np.where(fresh, n - -(-percent * n // 100) + 1, 0)
-                at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(offs[:-1], take)
-                place = np.repeat(n << 32, take) + at - np.repeat(offs[:-1], take)
-                yield ragged.batch(two, ragged.signed(h[at]), ragged.signed(np.repeat(raw, take)), place)
-
-    linked = pa.schema([("pivot", pa.int64()), ("name", pa.int64())])
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(np.array(c, np.int64) for c in b.columns) for b in batches]
-        if not got:
-            return
-        token, name, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((name, place >> 32, token))
-        token, name, place = token[order], name[order], place[order]
-        if len(token):  # the same set from several tasks
-            once = np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])])
-            token, name, place = token[once], name[once], place[once]
-        n, at = place >> 32, place & 0xFFFFFFFF
-        # sizes ascend inside a group: where one is too small for the next, nothing before is similar to anything after
-        begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])) if len(token) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(begins, len(token)))
-        pivot = np.repeat(np.minimum.reduceat(name, begins), sizes) if len(begins) else name
-        two_only = begins[sizes == 2]
-        most = np.minimum(n - at, np.roll(n - at, -1))[two_only] + np.minimum(at, np.roll(at, -1))[two_only]
-        far = two_only[(100 + percent) * most < percent * (n[two_only] + n[two_only + 1])] if len(two_only) else two_only
-        pivot[far], pivot[far + 1] = name[far], name[far + 1]
-        apart = pivot != name
-        pairs = np.unique(np.stack([pivot[apart], name[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-        yield ragged.batch(linked, pairs[:, 0], pairs[:, 1])
-
-    tokens = rows.select("text").mapInArrow(prefixes, "token long, name long, place long")
-    met = materialize(tokens.repartition("token").mapInArrow(meet, "pivot long, name long").distinct(), "clusters")
-    wanted = spark.sparkContext.broadcast(_name_bits(met))
-    tallied = pa.schema([("member", pa.int64()), ("buckets", pa.binary())])
-    packed = pa.schema([("member", pa.int64()), ("shingles", pa.binary())])
-
-    def marked(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        """(names, ordered sets) of the sets that a bitmap marks, each of a task once."""
+                at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                place = np.repeat((central << 55) | (n << 27), take) | at
+                yield ragged.batch(schema, ragged.signed(h[at + np.repeat(offs[:-1], take)]), ragged.signed(np.repeat(raw, take)), place)
+
+    return rows.select("text").mapInArrow(prefixes, "token long, name long, place long")
+
+
+def _by_token(tokens: DataFrame, work, sql: str) -> DataFrame:
+    """Rows that `work` makes of whole groups of equal tokens, which come in order: the last token's rows wait for more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            new = tuple(np.array(c, np.int64) for c in b.columns)
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if cut or (held and held[0][0][0] != new[0][-1]):
+                yield given([*held, tuple(c[:cut] for c in new)])
+                held = []
+            held.append(tuple(c[cut:] for c in new))
+        if held:
+            yield given(held)
+
+    def given(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        made = work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.record_batch([pa.array(c) for c in made], names=[x.split()[0] for x in sql.split(", ")])
+
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, sql)
+
+
+def _clusters(rows: DataFrame, levels: Broadcast, shingle: int, percent: int) -> DataFrame:
+    """Distinct (pivot, name): sets that meet the pivot, or each other and the pivot, in a prefix shingle.
+
+    Sets are screened first: one goes if for no number it shares so many prefix shingles with sets of which the sizes ask for no more.
+    """
+    level = F.expr("shiftrightunsigned(token, 58)")
+    is_hot = int(levels.value.max()) >= HOT_LEVEL
+    cool = lambda tokens: tokens.filter(level < HOT_LEVEL) if is_hot else tokens
+    every = _tokens(rows, levels, shingle, percent)
+    needs = _by_token(cool(every), lambda t, name, place: _needs(t, name, place, percent), "name long, need long").groupBy("name", "need").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("name").orderBy("need"))
+    alive = needs.withColumn("upto", upto).filter("upto >= need").select("name")
+    if is_hot:  # these meet so many others that they stay
+        alive = alive.unionByName(every.filter(level >= HOT_LEVEL).select("name"))
+    marks = share(rows.sparkSession, Marks.of(materialize(alive.distinct(), "alive"), "name"))
+    tokens = _tokens(rows, levels, shingle, percent, marks)
+
+    def meet(token: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = _pairs(token, name, place, percent)
+        return pairs[:, 0], pairs[:, 1]
+
+    met = _by_token(cool(tokens), meet, "pivot long, name long")
+    if is_hot:
+        hot = materialize(tokens.filter(level >= HOT_LEVEL), "hot")
+        first = hot.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(-F.shiftright("place", 55), F.col("name").alias("pivot"))).alias("x")).select("t", "x.pivot")
+        met = met.unionByName(hot.join(first, F.col("token") == F.col("t")).filter("pivot <> name").select("pivot", "name"))
+    return materialize(met.distinct(), "clusters")
+
+
+def _stored(rows: DataFrame, met: DataFrame, levels: Broadcast, shingle: int) -> DataFrame:
+    """(member, n, shingles) of every set of a cluster, once: shingles of 6 bytes in global order."""
+    names = met.select("name").unionByName(met.select(F.col("pivot").alias("name")))
+    wanted = share(rows.sparkSession, Marks.of(names, "name"))
+    schema = pa.schema([("member", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for b in batches:
             for _, _, h, offs in _sets(b.column(0), shingle, levels.value):
-                raw = _names(h, offs, 1)
-                at = raw >> U(64 - BITMAP_BITS)
-                hit = (wanted[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
-                names, found = [], []
-                for i in np.flatnonzero(hit & (np.diff(offs) > 0)).tolist():
-                    name = int(raw[i])
-                    if name not in passed:
-                        passed.add(name)
-                        names.append(name)
-                        found.append(h[offs[i] : offs[i + 1]])
+                raw, n = _names(h, offs, 1), np.diff(offs)
+                found = []
+                for i in np.flatnonzero(wanted.value.marked(raw) & (n > 0)).tolist():
+                    if int(raw[i]) not in passed:
+                        passed.add(int(raw[i]))
+                        found.append(i)
                 if len(passed) > REMEMBERED:
                     passed.clear()
-                yield names, found
-
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, found in marked(batches, wanted.value):
-            yield ragged.batch(tallied, ragged.signed(np.array(names, U)), [_buckets(h).tobytes() for h in found])
-
-    candidates = materialize(rows.select("text").mapInArrow(tally, "member long, buckets binary"), "candidates")
-
-    screened = pa.schema([("pivot", pa.int64()), ("name", pa.int64())])
-
-    def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Clusters again, apart where no bucket counts allow a link."""
-        for _, group in _groups(batches, 1):
-            names = [g[0] for g in group]
-            counts = [np.frombuffer(g[1], np.uint8) for g in group]
-            root = list(range(len(group)))
-            for i in range(len(group)):
-                for j in range(i):
-                    if root[i] != root[j] and _may_link(counts[i], counts[j], percent):
-                        old, new = root[i], root[j]
-                        root = [new if r == old else r for r in root]
-            least = {r: min(names[i] for i in range(len(group)) if root[i] == r) for r in set(root)}
-            got = [(least[r], x) for r, x in zip(root, names, strict=True) if least[r] != x]
-            if got:
-                yield ragged.batch(screened, *map(list, zip(*got, strict=True)))
-
-    buckets = candidates.select("member", "buckets").dropDuplicates(["member"])
-
-    def screen_small(clusters: DataFrame) -> DataFrame:
-        """Small clusters taken apart where no bucket counts allow a link."""
-        size = clusters.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("size")).filter(F.col("size") < BLOCK)
-        small = clusters.join(size, F.col("pivot") == F.col("p"), "left_semi").select("pivot", "name").unionByName(size.select(F.col("p").alias("pivot"), F.col("p").alias("name")))
-        return small.join(buckets, F.col("name") == F.col("member")).select("pivot", "name", "buckets").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(screen, "pivot long, name long")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of two blocks of a large cluster that could link with a set of another component."""
-        for (pivot, _, _), group in _groups(batches, 3):
-            counts = [np.frombuffer(g[2], np.uint8) for g in group]
-            hit = [False] * len(group)
-            for i in range(len(group)):
-                for j in range(i):
-                    if not (hit[i] and hit[j]) and group[i][1] != group[j][1] and _may_link(counts[i], counts[j], percent):
-                        hit[i] = hit[j] = True
-            got = [g[0] for g, h in zip(group, hit, strict=True) if h and g[0] != pivot]
-            if got:
-                yield ragged.batch(screened, [pivot] * len(got), got)
-
-    def screen_large(clusters: DataFrame, roots: DataFrame) -> DataFrame:
-        """Large clusters without the sets that could link with none of another component, block against block."""
-        size = clusters.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter(F.col("size") >= BLOCK)
-        large = clusters.join(size, F.col("pivot") == F.col("p")).select("pivot", "name", "blocks").unionByName(size.select(F.col("p").alias("pivot"), F.col("p").alias("name"), "blocks"))
-        dealt = large.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        paired = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name")
-        paired = paired.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "i", "j", "name", F.coalesce("root", "name").alias("root"))
-        full = paired.join(buckets, F.col("name") == F.col("member")).select("pivot", "i", "j", "name", "root", "buckets")
-        return full.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "pivot long, name long")
-
-    def likely(clusters: DataFrame) -> DataFrame:
-        """Pairs of a pivot and a set of its cluster that bucket counts allow."""
-        theirs = buckets.select(F.col("member").alias("m2"), F.col("buckets").alias("b2"))
-        both = clusters.join(buckets, F.col("name") == F.col("member")).join(theirs, F.col("pivot") == F.col("m2")).select("pivot", "name", "buckets", "b2")
-
-        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                may = [_may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=screened).filter(pa.array(may, pa.bool_()))
-
-        return both.mapInArrow(keep, "pivot long, name long")
-
-    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64())])
+                bare = (h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                yield ragged.batch(schema, ragged.signed(raw[found]), n[found], [bare[offs[i] : offs[i + 1]].tobytes() for i in found])
+
+    return materialize(rows.select("text").mapInArrow(pack, "member long, n long, shingles binary").dropDuplicates(["member"]), "sets")
+
+
+def _placed(met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((pivot, class, block, name) of every set and, in every block, of the pivot; (pivot, class, blocks)): small clusters are one block of class -1."""
+    sized = met.join(sets.select("member", "n"), F.col("name") == F.col("member")).select("pivot", "name", "n")
+    totals = sized.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("total"))
+    # a little wider than the ratio of sizes, so that rounding never puts similar sets two classes apart
+    by_size = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001)).cast("int")
+    classed = materialize(sized.join(totals, F.col("pivot") == F.col("p")).select("pivot", F.when(F.col("total") < BLOCK, F.lit(-1)).otherwise(by_size).alias("class"), "name"), "classed")
+    layout = materialize(classed.groupBy("pivot", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "layout")
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block")
+    placed = classed.join(layout, ["pivot", "class"]).select("pivot", "class", block, "name")
+    return placed.unionByName(layout.select("pivot", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("name"))), layout
 
-    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each block as (a, b); sets that the pivot does not link as (name, null, pivot)."""
-        for (pivot, _), group in _groups(batches, 2):
-            if len(group) > 1:
-                found, left = links_within([g[1] for g in group], [_unpack(g[2]) for g in group], percent, [g[3] for g in group])
-                yield ragged.batch(result, [x for x, _ in found] + [group[i][1] for i in left], [y for _, y in found] + [None] * len(left), [None] * len(found) + [pivot] * len(left))
-
-    def go_through(clusters: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(what walk() finds, blocks of each cluster, loaded blocks, sets) of clusters, each cut into blocks that all hold its pivot."""
-        blocks = clusters.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = clusters.join(blocks.withColumnRenamed("pivot", "p"), F.col("pivot") == F.col("p")).select("pivot", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"), "name")
-        placed = placed.unionByName(blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("name")))
-        needed = spark.sparkContext.broadcast(_name_bits(clusters))
-
-        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for names, found in marked(batches, needed.value):
-                cut = [(h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for h in found]
-                yield ragged.batch(packed, ragged.signed(np.array(names, U)), cut)
-
-        sets = rows.select("text").mapInArrow(pack, "member long, shingles binary").groupBy("member").agg(F.first("shingles").alias("shingles"))
-        if roots is not None:
-            placed = placed.join(roots, F.col("name") == F.col("node"), "left").drop("node")
-        root = F.col("name") if roots is None else F.coalesce("root", "name")
-        loaded = placed.withColumn("root", root).join(sets, F.col("name") == F.col("member")).select("pivot", "block", (F.col("name") != F.col("pivot")).alias("later"), "name", "shingles", "root")
-        walked = loaded.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "later").mapInArrow(walk, "a long, b long, pivot long")
-        return materialize(walked, "walked"), blocks, loaded, sets
-
-    # each set in the cluster of its smallest pivot only
-    home = met.groupBy("name").agg(F.min("pivot").alias("pivot")).select("pivot", "name")
-    walked, *_ = go_through(materialize(likely(home), "screened"), None)
-    links = walked.filter("b IS NOT NULL").select("a", "b")
-    roots = materialize(components(links), "roots")
-
-    rooted = met.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "name", F.coalesce("root", "name").alias("rn"))
-    rooted = rooted.join(roots, F.col("pivot") == F.col("node"), "left").select("pivot", "name", "rn", F.coalesce("root", "pivot").alias("rp"))
-    apart = rooted.filter("rn <> rp").select(F.col("pivot").alias("p")).distinct()
-    unsettled = materialize(met.join(apart, F.col("pivot") == F.col("p"), "left_semi"), "unsettled")
-    rest = materialize(screen_small(unsettled).unionByName(screen_large(unsettled, roots)).distinct(), "screened")
-    # screening renames clusters; those whose sets are all connected need no second look
-    again = rest.join(roots, F.col("name") == F.col("node"), "left").select("pivot", "name", F.coalesce("root", "name").alias("rn"))
-    again = again.join(roots, F.col("pivot") == F.col("node"), "left").filter(F.col("rn") != F.coalesce("root", "pivot")).select(F.col("pivot").alias("p")).distinct()
-    rest = rest.join(again, F.col("pivot") == F.col("p"), "left_semi")
-    walked, blocks, loaded, sets = go_through(materialize(rest, "clusters"), roots)
-    links = links.unionByName(walked.filter("b IS NOT NULL").select("a", "b"))
-
-    large = blocks.filter("blocks > 1")
-    strays = walked.filter("b IS NULL").select(F.col("a").alias("stray"), F.col("pivot").alias("p")).join(large.withColumnRenamed("pivot", "q"), F.col("p") == F.col("q")).select("stray", "p", "blocks")
-    if strays.limit(1).count():
-        queries = strays.join(sets, F.col("stray") == F.col("member")).select(F.col("p").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("stray"), F.pmod(F.xxhash64("stray"), F.lit(64)).cast("int").alias("part"), F.col("stray").alias("name"), "shingles")
-        parts = queries.select("pivot", "block", "part").distinct()
-        against = loaded.join(parts, ["pivot", "block"]).select("pivot", "block", F.lit(False).alias("stray"), "part", "name", "shingles")
-
-        def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, group in _groups(batches, 3):
-                there = [g for g in group if not g[0]]
-                trie = Trie([_unpack(g[2]) for g in there]) if there else None
-                found = [(g[1], there[j][1]) for g in group if g[0] and trie for j in trie.similar(_unpack(g[2]), percent)]
-                yield ragged.batch(result, [x for x, _ in found], [y for _, y in found], [None] * len(found))
-
-        both = queries.unionByName(against).select("pivot", "block", "part", "stray", "name", "shingles")
-        links = links.unionByName(both.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part", "stray").mapInArrow(cross, "a long, b long, pivot long").select("a", "b"))
-
-    return _label(members, components(links))
-
-
-def _name_bits(met: DataFrame) -> np.ndarray:
-    names = met.select("name").unionByName(met.select(F.col("pivot").alias("name")))
-    at = f"shiftrightunsigned(name, {64 - BITMAP_BITS})"
-    got = names.groupBy(F.expr(f"shiftrightunsigned({at}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias("b")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[np.array(got.column("w"), np.int64)] = np.array(got.column("b"), np.int64)
-    return bits.view(np.uint64)
 
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, n_shingles, component_id) of every row: key is the hash of its text, component_id the smallest id reachable by links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    members, found = _survey(rows, shingle)
+    levels = share(docs.sparkSession, found)
+    met = _clusters(rows, levels, shingle, percent)
+    sets = _stored(rows, met, levels, shingle)
+    placed, layout = _placed(met, sets, percent)
+    loaded = placed.join(sets, F.col("name") == F.col("member")).select("pivot", "class", "block", (F.col("name") != F.col("pivot")).alias("later"), "name", "shingles")
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64()), ("class", pa.int32()), ("block", pa.int32())])
 
-def _label(members: DataFrame, roots: DataFrame) -> DataFrame:
-    named = members.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "name").alias("r"), F.when(F.col("root").isNull(), F.col("twin")).alias("t"))
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each block as (a, b); of large clusters the sets not connected with the pivot, with their place."""
+        for (pivot, kind, block), group in _groups(batches, 3):
+            links, left = links_within([_unpack(g[2]) for g in group], percent)
+            left = left if kind >= 0 else []
+            a, b = [group[i][1] for i, _ in links] + [group[i][1] for i in left], [group[j][1] for _, j in links] + [None] * len(left)
+            if a:
+                none = [None] * len(links)
+                yield ragged.batch(result, a, b, none + [pivot] * len(left), none + [kind] * len(left), none + [block] * len(left))
+
+    walked = loaded.repartition("pivot", "class", "block").sortWithinPartitions("pivot", "class", "block", "later")
+    walked = materialize(walked.mapInArrow(walk, "a long, b long, pivot long, class int, block int"), "walked")
+    roots = materialize(components(walked.filter("b IS NOT NULL").select("a", "b")), "roots")
+    more = _strays(walked.filter("b IS NULL").drop("b"), loaded, layout, roots, sets, percent)
+    return _label(members, roots, more)
+
+
+def _strays(strays: DataFrame, loaded: DataFrame, layout: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of components that links across blocks join, named by their roots so far; None without such links."""
+    root_of = lambda df, column, name: df.join(roots.withColumnsRenamed({"node": "__n", "root": "__r"}), F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", column)).drop("__n", "__r")
+    apart = root_of(root_of(strays, "a", "root"), "pivot", "pr").filter("root <> pr").select(F.col("a").alias("name"), "pivot", F.col("class").alias("c"), F.col("block").alias("own"), "root")
+    apart = materialize(apart, "strays")
+    if not apart.limit(1).count():
+        return None
+    many = apart.groupBy(F.col("pivot").alias("p"), F.col("c").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = apart.join(many, (F.col("pivot") == F.col("p")) & (F.col("c") == F.col("k"))).withColumn("part", F.pmod(F.xxhash64("name", F.lit(1)), F.col("parts")).cast("int"))
+    there = layout.withColumnRenamed("pivot", "p2")
+    sent = dealt.drop("p", "k").join(there, (F.col("pivot") == F.col("p2")) & (F.abs(F.col("class") - F.col("c")) <= 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = materialize(sent.filter("class <> c OR block <> own").select("pivot", "class", "block", "c", "part", "name", "root"), "sent")
+    place = ["pivot", "class", "block"]
+    queries = sent.join(sets, F.col("name") == F.col("member")).select(*place, "c", "part", F.lit(True).alias("stray"), "root", "shingles")
+    against = root_of(loaded.join(sent.select(*place, "c", "part").distinct(), place), "name", "root").select(*place, "c", "part", F.lit(False).alias("stray"), "root", "shingles")
+
+    def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _groups(batches, 5):
+            there = [g for g in group if not g[0]]
+            trie, joined = Trie([_unpack(g[2]) for g in there]), Joined()
+            links = [(g[1], there[j][1]) for g in group if g[0] for j in trie.similar(_unpack(g[2]), percent) if joined.join(g[1], there[j][1])]
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    # few groups of much work each: dealt out by number, as small partitions would be put together by size
+    groups = sent.select(*place, "c", "part").distinct().count()
+    parts = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 4)
+    both = queries.unionByName(against).repartition(parts, *place, "c", "part").sortWithinPartitions(*place, "c", "part", "stray")
+    links = materialize(both.mapInArrow(cross, "a long, b long"), "crossed")
+    return materialize(components(links), "joined") if links.limit(1).count() else None
+
+
+def _label(members: DataFrame, roots: DataFrame, more: DataFrame | None) -> DataFrame:
+    named = members.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "key", "n", "twin", "name", F.col("root").alias("first"))
+    if more is None:
+        named = named.withColumn("root", F.col("first"))
+    else:
+        named = named.join(more, F.coalesce("first", "name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first"))
+    named = named.select("doc_id", "key", "n", F.coalesce("root", "name").alias("r"), F.when(F.col("root").isNull(), F.col("twin")).alias("t"))
     least = named.filter("n > 0").groupBy(F.col("r").alias("r2"), F.col("t").alias("t2")).agg(F.min("doc_id").alias("least"))
     out = named.join(least, (F.col("n") > 0) & (F.col("r") == F.col("r2")) & F.col("t").eqNullSafe(F.col("t2")), "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -8,7 +8,7 @@ shingle; the window must fit the document around it (length and position bounds)
 then its words are compared one by one with the document's.
 
 Items never become a broadcast that grows with them: document shingles are
-thinned by a bitmap of fixed size, then joined with the windows by Spark's own choice of join.
+thinned by a bitmap sized by their number, then joined with the windows by Spark's own choice of join.
 
 Defined cases: a null or empty text has no words; a document without words has no hit
 and is not contaminated; an item without words has no window; equal windows of
@@ -26,11 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .storage import materialize
+from .marks import Marks
+from .storage import materialize, share
 
 WINDOW, SHINGLE = 13, 5
-#: log2 of the bits of the bitmap that thins document shingles: half a megabyte.
-BITMAP_BITS = 22
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,21 +57,6 @@ def _grams(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return h[at], at
 
 
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - BITMAP_BITS)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bits set by a long column; at most 2**BITMAP_BITS / 64 rows come to the driver."""
-    at = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
-    words = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITMAP_BITS}) & 63 as int))")).alias("b"))
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    got = words.toArrow()
-    bits[np.array(got.column("w"), np.int64)] = np.array(got.column("b"), np.int64)
-    return bits.view(np.uint64)
-
-
 def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, words, n, shingles, offsets) of every window; n: words of it, offsets: place of each shingle's first word."""
     schema = pa.schema([("item_id", pa.string()), ("words", pa.string()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32()))])
@@ -104,12 +88,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """
     spark = docs.sparkSession
     each = materialize(item_windows(items, window, shingle, item_id_col, item_text_col), "windows")
-    owners = each.select("words", "item_id").distinct()
+    owners = each.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("owners"))
     windows = each.dropDuplicates(["words"]).drop("item_id")
     parts = windows.select("words", "n", F.explode(F.arrays_zip("shingles", "offsets")).alias("x")).select("words", "n", F.col("x.shingles").alias("s"), F.col("x.offsets").alias("offset"))
     lengths = sorted(r["k"] for r in windows.select(F.least(F.col("n"), F.lit(shingle)).alias("k")).distinct().collect())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = spark.sparkContext.broadcast(_bitmap(parts, "s"))
+    seen = share(spark, Marks.of(parts, "s"))
     counted = pa.schema([("s", pa.int64()), ("c", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +101,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             for _, _, _, _, _, first, hashes in _words(b.column(0)):
                 for k in lengths:
                     h, _ = _grams(hashes, first, k)
-                    s, c = np.unique(h[_passes(seen.value, h)], return_counts=True)
+                    s, c = np.unique(h[seen.value.marked(h)], return_counts=True)
                     yield ragged.batch(counted, ragged.signed(s), c)
 
     counts = rows.select("text").mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     ranked = parts.join(counts, "s", "left").groupBy("words", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s", "offset")).alias("x"))
     probes = materialize(ranked.filter("x.c > 0").select("words", "n", F.col("x.s").alias("s"), F.col("x.offset").alias("offset")), "probes")
-    wanted = spark.sparkContext.broadcast(_bitmap(probes, "s"))
+    wanted = share(spark, Marks.of(probes, "s"))
     found_type = pa.list_(pa.struct([("s", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("around", pa.string())]))
     matched = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("found", found_type)])
 
@@ -133,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
                 found: list[list[dict]] = [[] for _ in range(z - a)]
                 for k in lengths:
                     h, at = _grams(hashes, first, k)
-                    hit = np.flatnonzero(_passes(wanted.value, h))
+                    hit = np.flatnonzero(wanted.value.marked(h))
                     for s, i, r in zip(ragged.signed(h[hit]).tolist(), at[hit].tolist(), (np.searchsorted(first, at[hit], "right") - 1).tolist(), strict=True):
                         lo, hi = max(int(first[r]), i - window + k), min(int(first[r + 1]), i + window)
                         around = b" ".join(data[x:y].tobytes() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True))
@@ -149,7 +133,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     hits = pairs.filter(same).select("doc_id", "key", "words", start.alias("start"), (start + F.col("n")).alias("end"))
     hits = materialize(hits, "hits")
     covered = hits.groupBy("doc_id", "key").agg(_disjoint(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"))
-    named = hits.select("doc_id", "key", "words").distinct().join(owners, "words").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    # windows of the same items count once a document, so a passage of many items gives one row, not one an item
+    sets = hits.select("doc_id", "key", "words").distinct().join(owners, "words").select("doc_id", "key", "owners").distinct()
+    named = sets.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("items"))
     base = met.select("doc_id", "key", "n_words")
     for other in (covered, named):
         other = other.withColumnsRenamed({"doc_id": "d", "key": "k"})

@@ -6,9 +6,9 @@ decoding sums the logistic loss of each codeword against the predicted margins
 and takes the codeword of least loss; if the runner-up is nearly as good the text
 is flagged ambiguous.
 
-Training reads at most about `per_language` rows a language (an expected number:
-each row is drawn by a fixed hash of its id with probability per_language /
-rows of the language).  Prediction reads whole texts.
+Training reads about `per_language` rows a language, and about `sample` rows of all languages together at most, so that its memory
+(32 KB a row) does not grow with their number.  Both are expected numbers: each row is drawn by a fixed hash of its
+id.  Rows are put in order before they are summed, so reruns agree.  Prediction reads whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and not
 ambiguous; rows without a language are not learned from; ties of loss go to
@@ -30,7 +30,7 @@ from . import ragged
 from .sampling import unit
 
 BUCKETS = 4096
-PER_LANGUAGE = 500
+PER_LANGUAGE, SAMPLE = 500, 4000
 #: Loss gap under which two codewords count as equally near.
 AMBIGUOUS_GAP = 0.35
 
@@ -99,13 +99,14 @@ def _letters(texts: pa.Array) -> np.ndarray:
     return np.array([x is not None and letter(x) is not None for x in texts.to_pylist()], bool)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, steps: int = 150) -> Model:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, steps: int = 150) -> Model:
     """Learn from the rows for which `learn` holds; the languages found are few, so their counts come to the driver."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(found, key=lambda x: [ord(c) for c in x])
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((0, BUCKETS + 1)), np.zeros(0))
+    per_language = min(per_language, sample / len(languages))
     chance = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / found[k]))])
     drawn = rows.filter(unit(F.col("doc_id"), "langid") < chance[F.col("lang")])
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
@@ -117,20 +118,25 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                 each = [np.bincount(grams[s:e], minlength=BUCKETS + 1)[:BUCKETS].astype(np.float32) for s, e in zip(offs[:-1], offs[1:], strict=True)]
                 yield ragged.batch(schema, b.column(2)[a:z], [(x / max(x.sum(), 1)).astype(np.float16).tobytes() if x.sum() < 60000 else (x / x.sum()).astype(np.float16).tobytes() for x in each])
 
-    got = drawn.mapInArrow(counts, "lang string, counts binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    y = np.array([languages.index(v) for v in got.column("lang").to_pylist()], int)
+    got = drawn.mapInArrow(counts, "lang string, counts binary").toArrow().sort_by([("lang", "ascending"), ("counts", "ascending")])
+    place = {v: i for i, v in enumerate(languages)}
+    y = np.array([place[v] for v in got.column("lang").to_pylist()], int)
+    x = np.empty((len(y), BUCKETS), np.float32)
+    for i, v in enumerate(got.column("counts").to_pylist()):
+        x[i] = np.frombuffer(v, np.float16)
+    del got
     keep = x.any(axis=1)
-    x, y = x[keep], y[keep]
+    if not keep.all():
+        x, y = x[keep], y[keep]
     code = codewords(len(languages))
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6) if len(x) else np.ones(BUCKETS)
-    x = x * scale.astype(np.float32)
+    x *= scale.astype(np.float32)
     target = code[y].astype(np.float32)
     weight = (1 / np.maximum(np.bincount(y, minlength=len(languages)), 1))[y].astype(np.float32)[:, None]
     weight = weight / max(float(weight.sum()), 1e-9)
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     w_prev = w.copy()
-    rate = 4 / max(float((x**2).sum(axis=1).max(initial=1e-6)), 1e-6) * 4
+    rate = 4 / max(float(np.einsum("ij,ij->i", x, x).max(initial=1e-6)), 1e-6) * 4
     for i in range(steps):
         look = w + (i / (i + 3)) * (w - w_prev)
         pull = -target / (1 + np.exp(np.clip(target * (x @ look + b), -30, 30))) * weight

@@ -8,6 +8,7 @@ lineage: executors lost later cost no recomputation of what came before.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -60,6 +61,9 @@ def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
         clear()
     del _made[before:]
     _made.append(keep)
+    # the shuffle files of what is settled stay until the driver's JVM collects the plans that made them
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

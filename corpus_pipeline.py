@@ -7,34 +7,33 @@ documents; the last returns the mix: those columns with size, source_size, targe
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, langid, line_dedup, mixing, ngram_join
 from textloom.llm.sampling import remainder
-from textloom.llm.storage import materialize
-
-#: A text of so many letter trigrams that still fits two languages alike is no text of one language.
-ENOUGH_TRIGRAMS = 400
+from textloom.llm.storage import settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and long ones that fit no language better than another; the rest stays as it is."""
+    """Documents without a letter go, and those that fit no language better than another, of whatever length; the rest stays as it is."""
     model = langid.fit(docs, remainder(F.col("doc_id"), 3) != 1)
     judged = langid.predict(docs, model, carry=tuple(c for c in docs.columns if c != "text") + ("text",))
-    rejected = (F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("n_grams") >= ENOUGH_TRIGRAMS))
+    rejected = (F.col("lang_pred") == "und") | F.col("ambiguous")
     return judged.filter(~rejected).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, up to one word, go; every document stays, n_chars follows its text."""
-    left = line_dedup.apply(docs, line_dedup.decide(docs))
+    left = line_dedup.apply(docs, settle(lambda: line_dedup.decide(docs), "lines"))
     return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingles one stays, the one of the smallest id; documents without words stay."""
-    found = materialize(ngram_join.near_duplicates(docs), "groups")
+    found = settle(lambda: ngram_join.near_duplicates(docs), "groups")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     # repeated rows of the smallest id are one document; of different texts of that id the first by hash stays
     first = found.filter(group.isNotNull() & group.eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.struct("key")).alias("x"), F.count("*").alias("rows"))
@@ -48,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lie in benchmark passages go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = settle(lambda: decontaminate.decontaminate(docs, benchmark), "hits")
     hit = decontaminate.n_hit(F.col("spans"))
     bad = found.filter((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_anti").select(*docs.columns)
@@ -56,8 +56,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the number of copies and of words that the mix takes of it."""
-    mixed = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
-    mixed = mixed.withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__n"}).dropDuplicates(["__d", "__s", "__n"])
+    mixed = settle(lambda: mixing.plan(docs), "mix").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    mixed = mixed.withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__n"})
     joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (mixing.n_words(F.col("text")) == F.col("__n")), "left")
     return joined.select(*docs.columns, F.col("__n").alias("size"), "source_size", "target", "copies", "taken")
 
@@ -74,7 +74,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 

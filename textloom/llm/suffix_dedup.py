@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .storage import materialize
+from .marks import Marks, bits_for
+from .storage import materialize, share
 
 LENGTH, WINDOW, GRAM, STARTS = 400, 256, 16, 64
-BITMAP_BITS = 25
 LARGE = 2048
 #: Bytes whose suffixes a task sorts at once, whole groups at least.
 SORTED_BYTES = 1 << 19
@@ -145,20 +145,6 @@ class Text:
             return a, z, inner, self.hash(a, z + self.length) ^ ragged.mix((near - a).astype(U) + U(3)) ^ place
 
 
-def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> U(64 - BITMAP_BITS)
-    return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
-
-
-def _bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Bits set by a long column; a row for each 64 bits at most comes to the driver."""
-    at = f"shiftrightunsigned({column}, {64 - BITMAP_BITS})"
-    got = df.groupBy(F.expr(f"shiftrightunsigned({at}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias("b")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[np.array(got.column("w"), np.int64)] = np.array(got.column("b"), np.int64)
-    return bits.view(U)
-
-
 def repeated_starts(texts: list[bytes], starts: list[int], length: int) -> list[np.ndarray]:
     """For each text, which of its first `starts` positions begin a window that also begins at such a position of another text here, or of the same."""
     sizes = np.array([len(x) for x in texts])
@@ -223,22 +209,30 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
             c, k = np.unique(np.concatenate(held), return_counts=True)
             yield ragged.batch(core_schema, ragged.signed(c), k > 1)
 
+    # a corpus has some core in 128 bytes, of which a part repeats
+    size = facts.filter(F.col("n_bytes") >= length).agg(F.sum("n_bytes")).first()[0] or 0
+    room = bits_for(size // 512)
+
     def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.array(b.column(0), np.int64), np.array(b.column(1), bool)) for b in batches]
-        if got:
-            c, many = (np.concatenate(x) for x in zip(*got, strict=True))
-            found, place, count = np.unique(c, return_inverse=True, return_counts=True)
-            count[np.unique(place[many])] = 2
-            at = np.unique((found[count > 1].view(U) >> U(64 - BITMAP_BITS)).astype(np.int64))
-            yield pa.record_batch([pa.array(at << (64 - BITMAP_BITS), pa.int64())], names=["core"])
-
-    met = long_rows.mapInArrow(cores, "core long, many boolean").repartition("core").mapInArrow(several, "core long")
-    known = spark.sparkContext.broadcast(_bitmap(met, "core"))
+        """Places of the cores that occur again; rows come in order, so that only the last core is held."""
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            core, n = np.concatenate([held[0], np.array(b.column(0), np.int64)]), np.concatenate([held[1], np.array(b.column(1), bool) + np.int64(1)])
+            if not len(core):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
+            core, n = core[begins], np.minimum(np.add.reduceat(n, begins), 2)
+            held = core[-1:], n[-1:]
+            at = np.unique(core[n > 1].view(U) >> U(64 - room))
+            yield pa.record_batch([pa.array((at << U(64 - room)).view(np.int64))], names=["core"])
+
+    met = long_rows.mapInArrow(cores, "core long, many boolean").repartition("core").sortWithinPartitions("core").mapInArrow(several, "core long")
+    known = share(spark, Marks.of(met, "core", room))
     block_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("inner", pa.int64()), ("block", pa.int64())])
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, _, text in texts(batches):
-            some = np.flatnonzero(_marked(known.value, text.cores()))
+            some = np.flatnonzero(known.value.marked(text.cores()))
             if len(some):
                 a, z, inner, block = text.blocks(some)
                 yield ragged.batch(block_schema, [b.column(0)[i].as_py()] * len(a), [b.column(1)[i].as_py()] * len(a), a, z - a + 1, ragged.signed(inner), ragged.signed(block))
@@ -247,19 +241,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
     alike = materialize(cut.groupBy("inner", "block").agg(F.count("*").alias("c"), F.max("n").alias("n")), "alike")
     mixed = alike.groupBy("inner").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 AND least = 1")
     mixed = materialize(mixed, "mixed")
-    unsure = spark.sparkContext.broadcast((_bitmap(mixed, "inner"), _bitmap(mixed.filter(F.col("kinds") > LARGE), "inner")))
+    unsure = share(spark, (Marks.of(mixed, "inner"), Marks.of(mixed.filter(F.col("kinds") > LARGE), "inner")))
     bytes_schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
 
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for b, i, _, text in texts(batches):
-            some = np.flatnonzero(_marked(known.value, text.cores()))
+            some = np.flatnonzero(known.value.marked(text.cores()))
             if not len(some):
                 continue
             a, z, inner, block = text.blocks(some)
             out: list[tuple] = []
-            large = _marked(unsure.value[1], inner)
-            for j in np.flatnonzero(_marked(unsure.value[0], inner)).tolist():
+            large = unsure.value[1].marked(inner)
+            for j in np.flatnonzero(unsure.value[0].marked(inner)).tolist():
                 name = int(block[j])
                 if name in passed:
                     continue
@@ -311,11 +305,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("start", "n", "marks")).alias("found"))
     per_text = materialize(per_text.withColumnRenamed("key", "k"), "found")
 
-    partial = spark.sparkContext.broadcast(_bitmap(per_text, "k"))
+    partial = share(spark, Marks.of(per_text, "k"))
 
     def touched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_marked(partial.value, np.array(b.column(1), np.int64).view(U))))
+            yield b.filter(pa.array(partial.value.marked(np.array(b.column(1), np.int64).view(U))))
 
     cut_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 

@@ -64,6 +64,17 @@ def test_mixing_weights_and_odd_rows(spark):
     assert mixing.mix(docs_of(spark, [], DOCS)).count() == 0
 
 
+def test_mixing_ties_and_repeated_rows(spark):
+    rows = [(i // 3, "w " * 5, "", "a") for i in range(300)] + [(7, "w " * 5, "", "a")] * 50 + [(i, "w " * 9, "", None) for i in range(900, 960)]
+    df = docs_of(spark, rows)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows) and (got.groupby("doc_id").taken.nunique() == 1).all()
+    by = got.groupby(got.source.fillna("~")).agg(target=("target", "max"), taken=("taken", "sum"), size=("size", "sum"))
+    assert (by.taken <= 3 * by["size"]).all() and abs(by.target.sum() - got["size"].sum()) < 1e-6
+    one = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", "a")], "doc_id long, text string, source string")).collect()
+    assert [(r.size, r.target, r.taken) for r in one] == [(0, 0.0, 0)] * 2
+
+
 def test_decontamination(spark):
     item = " ".join(f"b{i}" for i in range(20))
     rows = [(1, f"x y {item.upper()}, z", "", ""), (2, " ".join(item.split()[:12]), "", ""), (3, f"{' '.join(f'f{i}' for i in range(500))} {' '.join(item.split()[3:16])}", "", ""), (7, "say short one now", "", ""), *ODD]
@@ -128,6 +139,21 @@ def test_line_dedup(spark, seed):
     assert {r.doc_id: r.removed for r in decisions.collect()} == line_dedup.brute(rows)
 
 
+@pytest.mark.parametrize(("bits", "whole"), [((3, 64), True), ((3, 2), False)])
+def test_line_dedup_verifies_pairs(spark, bits, whole):
+    """Variants whose hashes are forced to collide never remove a line that has no near line before it."""
+    rows = corpus(5, 60)
+    want = line_dedup.brute(rows)
+    got = {r.doc_id: r.removed for r in line_dedup.decide(docs_of(spark, [(*r, "", "") for r in rows]), bits=bits).collect()}
+    assert got == want if whole else all(set(got[d]) <= set(want[d]) for d in want)
+
+
+def test_line_dedup_is_one_rule_for_every_length(spark):
+    rows = [(1, "a b c d\na b c d e\nx y z\nx y w\none\ntwo"), (2, "a b c q e\nx y z\np q r s\np q r t\nONE"), (3, "a b c d e f\na b c d e f\np q r s u")]
+    got = {r.doc_id: r.removed for r in line_dedup.decide(docs_of(spark, [(*r, "", "") for r in rows])).collect()}
+    assert got == line_dedup.brute(rows) == {1: [1], 2: [0, 1, 4], 3: [0, 1, 2]}
+
+
 def test_line_dedup_apply(spark):
     df = docs_of(spark, [(1, "a b\nsame line here\n", "", ""), (2, "same line here\nown", "", ""), *ODD])
     out = line_dedup.apply(df, line_dedup.decide(df))
@@ -187,6 +213,33 @@ def test_html_names_of_furniture():
     assert html_text.main_text(f'<div class="sidebar" hidden>{body}</div>') == ""
 
 
+def test_html_wrappers_headers_and_scripts():
+    body = f"<p>{PROSE * 4}</p>"
+    assert html_text.main_text(f'<div class="layout has-sidebar"><article><h1>Name</h1>{body}</article></div>').startswith("Name\nThis")
+    assert html_text.main_text(f'<article><div class="article-header"><h1>Name</h1></div>{body}<div class="post-footer"><p>Filed under this.</p></div></article>') == "Name\n" + " ".join([PROSE.strip()] * 4)
+    words = "これは日本語の段落であり、この記事の本文を構成する文章です。読者が知りたいことをすべて含んでいますので、最後まで読んでください。"
+    got = html_text.main_text(f"<body><nav><a href=/>家</a></nav>{f'<p>{words}</p>' * 4}</body>")
+    assert got == "\n".join([words] * 4)
+
+
+def test_html_time_is_linear():
+    import time
+
+    for page in ("<article><p>" + "<b>word here " * 100_000 + "</article>", "<div>" * 100_000 + PROSE * 5 + "</div>" * 100_000, ("<p>" + PROSE + "<br>") * 20_000, '<p title="' * 20_000, "<p title='it's>x</p>" * 20_000, "<" * 50_000, "<b>x</i>" * 30_000, "<i><div>" + "<b>" * 20_000 + "<h2>x" * 5_000, "<a>x" * 20_000, "1 < 2 " * 50_000 + "<p>x"):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_html_passes_decide_without_a_mark():
+    """Blocks of a page without marks are labelled by the two passes: links, length, stop words, then neighbours."""
+    prose, links = f"<p>{PROSE * 4}</p>", "<div><a href=x>One menu entry</a> <a href=y>Another entry</a></div>"
+    found = html_text.blocks(f"{links}<p>By someone</p>{links}{prose}<p>Short in the text.</p>{prose}<p>Read on</p>{links}{links}")
+    first = [html_text._decide(b, False) for b in found]
+    assert first == [False, None, False, True, None, True, None, False, False]
+    assert html_text.classify(found) == [False, False, False, True, True, True, True, False, False]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
@@ -201,6 +254,51 @@ def test_ngram_join(spark, monkeypatch, block):
     assert got == ngram_join.brute(rows)
 
 
+def test_ngram_join_by_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEVEL", 1)
+    words = [f"w{i}" for i in range(40)]
+    rows = corpus(3, 60) + [(1000 + i, " ".join(words[: 30 + i % 10])) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs_of(spark, [(*r, "", "") for r in rows])).collect()}
+    assert got == ngram_join.brute(rows)
+
+
+def test_ngram_links_grow_with_the_group(spark, monkeypatch):
+    """However many pairs of a group are similar, a task gives at most one link a set."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    made: list[int] = []
+    write = ngram_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("walked", "crossed"):
+            made.append(out.filter("b IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    links = {}
+    for n in (500, 1000, 2000):
+        rng, base = random.Random(n), [f"b{i}" for i in range(60)]
+        rows = []
+        for d in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            rows.append((d, " ".join(w), "", ""))
+        made.clear()
+        ngram_join.near_duplicates(docs_of(spark, rows)).count()
+        links[n] = sum(made)
+    assert all(links[n] <= 2 * n for n in links) and links[2000] <= 5 * links[500]
+
+
+def test_marks(spark):
+    from textloom.llm.marks import LARGEST, LEAST, Marks, bits_for
+
+    assert bits_for(0) == LEAST and bits_for(10**12) == LARGEST and bits_for(10**6) > LEAST
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    marks = Marks.of(spark.createDataFrame([(int(x),) for x in h[:250]], "h long"), "h")
+    assert marks.marked(h[:250].view(np.uint64)).all() and marks.marked(h[250:].view(np.uint64)).sum() < 10
+
+
 def test_ngram_join_odd(spark):
     got = ngram_join.near_duplicates(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.component_id == r.doc_id for r in got) and sum(r.n_shingles == 0 for r in got) == 3
@@ -254,6 +352,63 @@ def test_quality(spark):
     assert {r.score for r in quality_gam.score(df.drop("score"), none).collect()} == {0.5}
 
 
+def test_language_decoding_against_a_plain_loop(spark):
+    """Margins and decoding of single texts, trigram by trigram, from the model's tables."""
+    say = {"en": "the of and to in is that it was for", "fr": "le la les des et est que dans pour une", "de": "der die das und ist nicht mit auf ein sich", "it": "il lo gli che di non per una con sono"}
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(say[k].split()) for _ in range(rng.choice([1, 5, 40]))).title(), k, "s") for i, k in enumerate(list(say) * 30)] + [(500, "ÀÉ x" * 300, None, None), (501, "a", None, None)]
+    df = docs_of(spark, rows)
+    model = langid.fit(df, F.lit(True), per_language=20)
+    again = langid.fit(df.repartition(5), F.lit(True), per_language=20)
+    assert (model.weights == again.weights).all() and (model.bias == again.bias).all()
+    mask = (1 << 32) - 1
+    for r in langid.predict(df.drop("score"), model, carry=("doc_id", "text")).collect():
+        data = [b + 32 if 65 <= b <= 90 else b for b in r.text.encode()]
+        for i in range(1, len(data)):
+            if data[i - 1] == 0xC3 and 0x80 <= data[i] <= 0x9E and data[i] != 0x97:
+                data[i] += 0x20
+        data = [b if b >= 0x80 or 97 <= b <= 122 else 32 for b in data]
+        margins, n = [0.0] * len(model.bias), 0
+        for a, b, c in zip(data, data[1:], data[2:]):
+            if (a, b, c) != (32, 32, 32):
+                h = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (c * 0xC2B2AE3D & mask)
+                h = (h ^ h >> 15) * 0x2C1B3C6D & mask
+                n += 1
+                for bit in range(len(margins)):
+                    margins[bit] += model.weights[bit][h >> 20]
+        margins = [m / max(n, 1) + float(b) for m, b in zip(margins, model.bias)]
+        loss = [sum(float(np.logaddexp(0, -m * code)) for m, code in zip(margins, word)) for word in model.code]
+        ordered = sorted(loss)
+        assert r.lang_pred == model.languages[loss.index(ordered[0])] and r.n_grams == n and r.ambiguous == (ordered[1] - ordered[0] < langid.AMBIGUOUS_GAP)
+        assert abs(r.score - 1 / sum(np.exp(ordered[0] - x) for x in loss)) < 1e-9
+
+
+def test_quality_score_against_a_plain_loop():
+    """Every score as the sum of one table entry a feature and one a pair, looked up by hand."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    model = quality_gam.train(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), rounds=10, pair_rounds=5)
+    for row, got in zip(x[:60], model.score(x[:60])):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        logit = model.bias + sum(t[b] for t, b in zip(model.tables, bins))
+        for (f, g), table in zip(model.pairs, model.grids):
+            logit += table[bins[f] * quality_gam.GRID // len(model.tables[f])][bins[g] * quality_gam.GRID // len(model.tables[g])]
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_quality_features_against_a_plain_loop():
+    from textloom.llm import ragged
+    import pyarrow as pa
+
+    for text in ["", "One two two.\nOne two two.\n\nTHREE, 4! a|b http://x", "ééé äö 12 3", "x" * 50]:
+        data, w = text.encode(), [x for x in text.replace("\n", " ").split(" ") if x]
+        lines = [x for x in text.split("\n") if x]
+        got = dict(zip(quality_gam.FEATURES, quality_gam.features(*ragged.flat(pa.array([text])))[0]))
+        n, size = max(len(w), 1), max(len(data), 1)
+        want = {"log_bytes": np.log1p(len(data)), "log_words": np.log1p(len(w)), "word_bytes": sum(len(x.encode()) for x in w) / n, "digit": sum(48 <= b <= 57 for b in data) / size, "comma": data.count(b",") / size, "line_words": len(w) / max(len(lines), 1), "distinct_words": len(set(w)) / n, "top_word": max([w.count(x) for x in w], default=0) / n, "distinct_lines": len(set(lines)) / max(len(lines), 1), "short_words": sum(len(x.encode()) <= 3 for x in w) / n, "upper_words": sum(2 * sum(65 <= b <= 90 for b in x.encode()) > len(x.encode()) for x in w) / n}
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
 def test_every_query_is_registered():
     import re
 
@@ -276,3 +431,58 @@ def test_pipeline_stages(spark, tmp_path):
         table = spark.read.parquet(str(tmp_path / name))
     ids = [r.doc_id for r in table.collect()]
     assert len(ids) == len(set(ids)) and not {70, 71, 72} & set(ids) and 3 not in ids and {"copies", "taken"} <= set(table.columns)
+
+
+def test_pipeline_against_sql_and_plain_versions(spark, tmp_path):
+    """All rows of run() against the stages' SQL and brute-force twins, one after the other."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    duckdb = pytest.importorskip("duckdb")
+    say = {"en": "the of and to in is that it was for on with as by at from this have", "fr": "le la les des et est que dans pour une sur avec par au du ce qui pas"}
+    rng = random.Random(9)
+    prose = lambda k, n: " ".join(rng.choice(say[k].split()) + str(rng.randrange(40)) * (rng.random() < 0.7) for _ in range(n))
+    rows, item = [], " ".join(f"bench{i}" for i in range(30))
+    for d in range(90):
+        k = "en" if d % 2 else "fr"
+        lines = [prose(k, rng.choice([3, 6, 30])) for _ in range(4)]
+        if rows and rng.random() < 0.3:
+            lines = rows[rng.randrange(len(rows))][1].split("\n")
+            lines[rng.randrange(len(lines))] += " more"
+        elif rows and rng.random() < 0.4:
+            lines[1] = rows[rng.randrange(len(rows))][1].split("\n")[0]
+        if d % 17 == 5:
+            lines.append(item[: rng.choice([70, 400])])
+        rows.append((d, "\n".join(lines), k, f"s{d % 4}" if d % 9 else None, 1))
+    rows += [(200, None, None, None, 0), (201, "12 34", "en", "s0", 5), (202, rows[0][1], "fr", "s1", 1)]
+    spark.createDataFrame(rows, DOCS + ", n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.text, r.n_chars, r.size, r.taken) for r in pipeline.run(spark, str(tmp_path)).collect()}
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    judged = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs, pipeline.remainder(F.col("doc_id"), 3) != 1), carry=("doc_id",)).collect()}
+    left = {r[0]: (r[1], r[3]) for r in rows if not (judged[r[0]].lang_pred == "und" or judged[r[0]].ambiguous)}
+    assert set(left) == set(range(90)) | {202}
+    gone = line_dedup.brute([(d, t) for d, (t, _) in left.items()])
+    left = {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), s) for d, (t, s) in left.items()}
+    groups = ngram_join.brute([(d, t) for d, (t, _) in left.items()])
+    left = {d: v for d, v in left.items() if groups[d] == (0, d) or groups[d][1] == d}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.execute("CREATE TABLE benchmark AS SELECT 1 AS item_id, ? AS text", [item])
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", [[d, *v] for d, v in left.items()])
+    bad = {r[0] for r in db.execute(f"SELECT doc_id FROM ({decontaminate.SQL}) WHERE contaminated").fetchall()}
+    assert bad
+    db.execute(f"DELETE FROM documents WHERE doc_id IN ({', '.join(map(str, bad))})")
+    mixed = {r[0]: r[1:] for r in db.execute(f"SELECT doc_id, size, taken FROM ({mixing.SQL})").fetchall()}
+    assert got == {d: (t, len(t), *mixed[d]) for d, (t, _) in left.items() if d not in bad}
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = " ".join(["the of and to in is that it was for"] * 3)
+    twice = [(1, words + f" x{i}", "en", "a", 1) for i in (1, 1, 2)] + [(2, words + " x1", "en", "a", 1)] * 3 + [(3, "und dies ist nicht gleich", "de", None, 1)]
+    for name, rows in (("none", []), ("twice", twice)):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, DOCS + ", n_chars long").write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = pipeline.run(spark, str(folder)).collect()
+        assert sorted(r.doc_id for r in got) == ([] if name == "none" else [1, 3]) or name == "twice" and {r.doc_id for r in got} >= {1, 3}

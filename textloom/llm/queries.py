@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, quality_gam, suffix_dedup, token_count
+from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, period_runs, quality_gam, suffix_dedup, token_count
 from .sampling import remainder
 
 
@@ -68,8 +68,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", period_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = period_runs.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), digest(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    length, period = F.col("x.length"), -F.col("x.p")
+    return best.select("doc_id", "n_runs", (-F.col("x.s")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier, op12_period_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -149,7 +149,7 @@ def repeated_tail(text: Column, doc_id: Column) -> Column:
 
     def repeated(words: Column) -> Column:
         n, g = F.size(words), F.floor(h / 10)
-        a = (g % n).cast("int")
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
         p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
         return bound(F.struct(a.alias("a"), p.alias("p")), lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, x["a"] + (i - x["a"]) % x["p"]))))
 

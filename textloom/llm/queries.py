@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, period_runs, quality_gam, suffix_dedup, token_count
+from . import collocations, decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, period_runs, quality_gam, suffix_dedup, token_count
 from .sampling import remainder
 
 
@@ -68,6 +68,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", period_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
     found = period_runs.find_runs(docs)
@@ -80,8 +84,8 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier, op12_period_runs)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier, op11_collocations, op12_period_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL, "op5_line_dedup": line_dedup.SQL, "op7_ngram_jaccard": ngram_join.SQL}
+    return {"op1_source_mixing": mixing.SQL, "op2_decontamination": decontaminate.SQL, "op4_top_k": maxscore.SQL, "op5_line_dedup": line_dedup.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op11_collocations": collocations.SQL}

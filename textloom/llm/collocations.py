@@ -272,42 +272,44 @@ def _first_level(docs: DataFrame, min_count: int, block: int) -> tuple[DataFrame
     if marks is None:
         return None
 
-    def resolve(base: int, seed: int, table: Broadcast, first: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts become arrays of slots, cut where pieces end; later blocks fill in their own."""
+    def resolve(base: int, seed: int, table: Broadcast, first: bool, last: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts, a slice of them a row, become arrays of slots, cut where pieces end; each block fills in its own."""
         for b in batches:
-            for i in range(b.num_rows):
-                texts, langs = (pa.array(v.as_py(), pa.string()) for v in (b.column(0)[i], b.column(1)[i]))
+            for texts, langs, before in _slices(b) if first else _packed(b):
                 ids = []
                 for _, key, check, cut, *_ in _words(texts, langs, seed):
                     slots = table.value.slots(key, check)
                     ids.append(np.insert(np.where(slots >= 0, slots + base, -1).astype(np.int32), np.flatnonzero(cut), -1))
-                ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                if not first:
-                    ids = np.maximum(ids, np.frombuffer(b.column(2)[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], b.column(1)[i : i + 1], pa.array([ids.tobytes()], pa.binary())], names=["texts", "langs", "ids"])
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices of a megabyte of text as one row."""
-        for b in batches:
-            for a, z, *_ in ragged.parts(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(j)[a:z].to_pylist()], pa.list_(pa.string())) for j in (0, 1)], names=["texts", "langs"])
-
-    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _arrays(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array([_squeezed(x).tobytes()], pa.binary())], names=["ids"])
+                now = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                now = now if first else np.maximum(now, before)
+                out = pa.array([(_squeezed(now) if last else now).tobytes()], pa.binary())
+                kept = [] if last else [pa.array([v.to_pylist()], pa.list_(pa.string())) for v in (texts, langs)]
+                yield pa.RecordBatch.from_arrays([*kept, out], names=["ids"] if last else ["texts", "langs", "ids"])
 
     blocks = -(-keys.count() // block)
-    rows, named = docs.mapInArrow(packed, "texts array<string>, langs array<string>"), None
+    rows, named = docs, None
     for i, (base, seed, table) in enumerate(_hashes(keys, block)):
-        rows = rows.mapInArrow(partial(resolve, base, seed, table, i == 0), "texts array<string>, langs array<string>, ids binary")
-        if i + 1 < blocks:
-            rows = materialize(rows, "texts")
+        last = i + 1 == blocks
+        rows = rows.mapInArrow(partial(resolve, base, seed, table, i == 0, last), "ids binary" if last else "texts array<string>, langs array<string>, ids binary")
+        rows = materialize(rows, "ids" if last else "texts")
         part = keys.mapInArrow(_numbered(base, seed, table, 2), "lang string, word string, slot long")
         named = part if named is None else named.unionByName(part)
-    ids = materialize(rows.mapInArrow(squeeze, "ids binary"), "ids")
+    ids = rows
     return named.join(_counts(ids), "slot"), totals, ids
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, None]]:
+    """(texts, languages, None) of a batch, about a megabyte at a time."""
+    for a, z, *_ in ragged.parts(b.column(0)):
+        yield b.column(0)[a:z], b.column(1)[a:z], None
+
+
+def _packed(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(texts, languages, slots so far) of rows that hold a slice each."""
+    for i in range(b.num_rows):
+        yield *(pa.array(b.column(j)[i].as_py(), pa.string()) for j in (0, 1)), np.frombuffer(b.column(2)[i].as_py(), np.int32)
+
+
 def _numbered(base: int, seed: int, table: Broadcast, carry: int) -> Callable:
     """Candidates of one block with their slots: `carry` columns, then key and check."""
 
@@ -341,33 +343,29 @@ def _next_level(ids: DataFrame, min_count: int, block: int) -> tuple[DataFrame,
 
     keys = materialize(ids.mapInArrow(candidates, "hi long, lo long, key long").distinct().withColumn("check", F.col("key")), "phrases")
 
-    def resolve(base: int, table: Broadcast, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(base: int, table: Broadcast, first: bool, last: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                x, now = (np.frombuffer(b.column(j)[i].as_py(), np.int32) for j in (0, 1))
+                x = np.frombuffer(b.column(0)[i].as_py(), np.int32)
                 at, key = _pairs(x)
                 slots = table.value.slots(key, key)
-                out = np.full(len(x), -1, np.int32) if not len(now) else now.copy()
+                out = np.full(len(x), -1, np.int32) if first else np.frombuffer(b.column(1)[i].as_py(), np.int32).copy()
                 out[at[slots >= 0]] = slots[slots >= 0] + base
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], pa.array([out.tobytes()], pa.binary())], names=["ids", "now"])
-
-    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _arrays(batches, 1):
-            x = _squeezed(x)
-            if len(x) and x.max() >= 0:
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"])
+                if not last:
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], pa.array([out.tobytes()], pa.binary())], names=["ids", "now"])
+                elif out.max(initial=-1) >= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([_squeezed(out).tobytes()], pa.binary())], names=["ids"])
 
     blocks = -(-keys.count() // block)
-    rows, named = ids.withColumn("now", F.lit(b"")), None
+    rows, named = ids, None
     for i, (base, seed, table) in enumerate(_hashes(keys, block)):
         if seed:
             raise AssertionError("pairs are their own keys")
-        rows = rows.mapInArrow(partial(resolve, base, table), "ids binary, now binary")
-        if i + 1 < blocks:
-            rows = materialize(rows, "pairs")
+        last = i + 1 == blocks
+        rows = materialize(rows.mapInArrow(partial(resolve, base, table, i == 0, last), "ids binary" if last else "ids binary, now binary"), "ids" if last else "pairs")
         part = keys.mapInArrow(_numbered(base, 0, table, 2), "hi long, lo long, slot long")
         named = part if named is None else named.unionByName(part)
-    after = materialize(rows.mapInArrow(squeeze, "ids binary"), "ids")
+    after = rows
     return named.join(_counts(after), "slot"), after
 
 

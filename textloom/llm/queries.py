@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, period_runs, quality_gam, suffix_dedup, token_count
+from . import collocations, decontaminate, html_text, langid, line_dedup, maxscore, mixing, ngram_join, period_runs, quality_gam, suffix_dedup, token_count, toxicity
 from .sampling import remainder
 
 
@@ -83,8 +83,15 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "n_runs", (-F.col("x.s")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier, op11_collocations, op12_period_runs)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_decontamination, op3_suffix_dedup, op4_top_k, op5_line_dedup, op6_main_text, op7_ngram_jaccard, op8_language_id, op9_token_counts, op10_quality_classifier, op11_collocations, op12_period_runs, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

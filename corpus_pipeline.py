@@ -3,11 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
 shared folder and reads again as the next stage's docs.  All but the last return the columns of
 documents; the last returns the mix: those columns with size, source_size, target, copies and taken.
+
+Columns beyond those of COLUMNS, whatever their names, pass through every stage: inside a stage they bear names of their own.  Where the input has a
+column of the name of one that the mix adds, upper and lower case alike, the added one gets `mix_` before its name, as often as it takes.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +20,31 @@ from textloom.llm import decontaminate, langid, line_dedup, mixing, ngram_join
 from textloom.llm.sampling import remainder
 from textloom.llm.storage import settle
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What the stages read and may change.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage with the further columns of its documents under names that nothing else has."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = [c if c in COLUMNS else f"__extra{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*own), sf_dir)
+        taken = {c.lower() for c in docs.columns}
+        names = list(docs.columns)
+        for c in out.columns[len(own) :]:
+            while c.lower() in taken:
+                c = f"mix_{c}"
+            taken.add(c.lower())
+            names.append(c)
+        return out.toDF(*names)
+
+    return run_apart
+
 
+@apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those that fit no language better than another, of whatever length; the rest stays as it is."""
     model = langid.fit(docs, remainder(F.col("doc_id"), 3) != 1)
@@ -25,12 +53,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter(~rejected).select(*docs.columns)
 
 
+@apart
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, up to one word, go; every document stays, n_chars follows its text."""
     left = line_dedup.apply(docs, settle(lambda: line_dedup.decide(docs), "lines"))
     return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingles one stays, the one of the smallest id; documents without words stay."""
     found = settle(lambda: ngram_join.near_duplicates(docs), "groups")
@@ -45,6 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+@apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lie in benchmark passages go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -54,6 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_anti").select(*docs.columns)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the number of copies and of words that the mix takes of it."""
     mixed = settle(lambda: mixing.plan(docs), "mix").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

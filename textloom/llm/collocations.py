@@ -1,10 +1,9 @@
 """Phrase collocations by level-wise counting with minimal perfect hashes.
 
 Level 1 are the words of a language, level k the phrases of k words.  At each level
-1. a sieve: mappers sum occurrences of phrases whose two sub-phrases of k - 1 words are both left by hashed slots of SLOT_BITS bits,
-   and the sums meet by slot; a phrase in a slot of less than `min_count` cannot be frequent;
-2. the different phrases in the slots left are the candidates; a minimal perfect hash numbers them, and the key stored in a slot tells
-   a candidate from any other phrase;
+1. a sieve finds the candidates: mappers sum the phrases whose two sub-phrases of k - 1 words are both candidates, words by hashed slots of
+   SLOT_BITS bits, phrases by the pair of their parts, each sum up to `min_count`; what does not reach it cannot be frequent;
+2. a minimal perfect hash numbers the candidates, and the key stored in a slot tells a candidate from any other phrase;
 3. mappers replace each phrase by its slot, bincount the slots into numpy arrays, and a tree of sums adds the arrays.
 
 A phrase of k words is the pair of slots of its first and last k - 1 words, so from level 2 on keys are exact pairs and each
@@ -124,7 +123,7 @@ def _key(h: np.ndarray, check: np.ndarray, seed: int) -> np.ndarray:
 def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, key) of the phrases whose first and last parts both have a slot."""
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return at, ragged.mix(ids[at].astype(U) << U(32) | ids[at + 1].astype(U))
+    return at, ids[at].astype(U) << U(32) | ids[at + 1].astype(U)
 
 
 def _squeezed(ids: np.ndarray) -> np.ndarray:
@@ -325,23 +324,21 @@ def _numbered(base: int, seed: int, table: Broadcast, carry: int) -> Callable:
 
 def _next_level(ids: DataFrame, min_count: int, block: int) -> tuple[DataFrame, DataFrame] | None:
     """(phrases one word longer: slot, hi, lo, a; their arrays of slots), None if none is frequent."""
-    marks = _sieve(ids, lambda batches: (_pairs(x)[1] for x in _arrays(batches)), min_count)
-    if marks is None:
-        return None
-    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("key", pa.int64())])
+    schema = pa.schema([("hi", pa.int32()), ("lo", pa.int32()), ("n", pa.int32())])
 
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, U)
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Gather()
+        split = lambda pair, n: ragged.batch(schema, (pair >> U(32)).astype(np.int32), (pair & U(0xFFFFFFFF)).astype(np.int32), np.minimum(n, min_count).astype(np.int32))
         for x in _arrays(batches):
-            at, key = _pairs(x)
-            kept = np.flatnonzero(marks.value.marked(key))
-            kept = kept[np.unique(key[kept], return_index=True)[1]]
-            kept = kept[~np.isin(key[kept], seen)]
-            seen = np.concatenate([seen, key[kept]]) if len(seen) < GATHERED else np.zeros(0, U)
-            at = at[kept]
-            yield ragged.batch(schema, x[at].astype(np.int64), x[at + 1].astype(np.int64), ragged.signed(key[kept]))
-
-    keys = materialize(ids.mapInArrow(candidates, "hi long, lo long, key long").distinct().withColumn("check", F.col("key")), "phrases")
+            for out in held.add(_pairs(x)[1]):
+                yield split(*out)
+        for out in held.rest():
+            yield split(*out)
+
+    pairs = ids.mapInArrow(summed, "hi int, lo int, n int").groupBy("hi", "lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    keys = materialize(pairs.select(F.col("hi").cast("long"), F.col("lo").cast("long"), (F.shiftleft(F.col("hi").cast("long"), 32) + F.col("lo")).alias("key"), (F.shiftleft(F.col("hi").cast("long"), 32) + F.col("lo")).alias("check")), "phrases")
+    if not keys.limit(1).count():
+        return None
 
     def resolve(base: int, table: Broadcast, first: bool, last: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -39,6 +39,8 @@ from .sampling import unit
 SAMPLE, SENTENCES = 1500, 24
 LANDMARKS, SPAN, DECAY, POWER, FLOOR = 96, 7, 0.8, 3, 0.3
 SURE, RATED = 20, 1 << 20
+#: Units of which the subsequences are held at once.
+AT_ONCE = 1 << 13
 #: Weight of clean units against toxic ones, and of the ridge.
 NEG, PEN = 2, 1e-3
 #: Ratings of a document that its score depends on.
@@ -158,6 +160,11 @@ class Model:
 
     def kernel(self, u: Units) -> np.ndarray:
         """Powers of the normalised kernel of units with landmarks, 0 below FLOOR."""
+        n = len(u.offs) - 1
+        parts = [self._kernel(u.take(np.arange(a, min(a + AT_ONCE, n)))) for a in range(0, n, AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.size), np.float32)
+
+    def _kernel(self, u: Units) -> np.ndarray:
         n = len(u.offs) - 1
         who, codes, weights = subsequences(u)
         entries = self.first[codes + 1] - self.first[codes]
@@ -170,7 +177,7 @@ class Model:
         norm = np.full(n, np.inf)
         norm[near] = np.maximum(norms(*subsequences(u.take(near)), len(near)), 1e-12)
         out = np.minimum(out / norm[:, None], 1.0)
-        return np.where(out >= FLOOR, out, 0.0) ** POWER
+        return (np.where(out >= FLOOR, out, 0.0) ** POWER).astype(np.float32)
 
     def ratings(self, u: Units) -> np.ndarray:
         """Margins of units, cut to what the hinge tells apart."""
@@ -268,22 +275,21 @@ def spelled(u: Units, draw: np.random.Generator) -> Units:
     return Units(np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Weights and bias (last) of least squared hinge loss, by Newton steps."""
+def _machine(x: np.ndarray, up: np.ndarray, down: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
+    """Weights and bias (last) of least squared hinge loss, by Newton steps; every row counts `up` as toxic and `down` as clean."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    sign, w = 2.0 * y - 1, np.zeros(z.shape[1])
-    ridge = np.full(z.shape[1], penalty)
+    w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
     ridge[-1] = 1e-8
-    loss = lambda v: float((weight * np.maximum(0, 1 - sign * (z @ v)) ** 2).sum() + ridge @ v**2)
-    now = loss(w)
+    loss = lambda f, v: float(up @ np.maximum(0, 1 - f) ** 2 + down @ np.maximum(0, 1 + f) ** 2 + ridge @ v**2)
+    now = loss(z @ w, w)
     for _ in range(steps):
-        short = 1 - sign * (z @ w)
-        on = np.where(short > 0, weight, 0.0)
-        step = np.linalg.solve((z * on[:, None]).T @ z + np.diag(ridge), z.T @ (on * sign * short) - ridge * w)
+        f = z @ w
+        a, b = np.where(f < 1, up, 0.0), np.where(f > -1, down, 0.0)
+        step = np.linalg.solve((z * (a + b)[:, None]).T @ z + np.diag(ridge), z.T @ (a * (1 - f) - b * (1 + f)) - ridge * w)
         size = 1.0
-        while size > 1e-4 and loss(w + size * step) > now:
+        while size > 1e-4 and loss(z @ (w + size * step), w + size * step) > now:
             size /= 2
-        after = loss(w + size * step)
+        after = loss(z @ (w + size * step), w + size * step)
         if now - after < 1e-9 * max(now, 1e-9):
             break
         w, now = w + size * step, after
@@ -322,7 +328,7 @@ def train(docs: list[tuple[bytes, float]], landmarks: int = LANDMARKS, rounds: i
     # likelihood ratio of a unit being as common in both classes, by sign of the difference
     with_log = lambda k, of: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(of * (toxic + clean), 1e-9)), 0.0)
     sure = 2 * (with_log(toxic, part) + with_log(clean, 1 - part)) * np.sign(toxic - part * (toxic + clean))
-    norm = norms(*subsequences(found), n)
+    norm = np.concatenate([norms(*subsequences(found.take(p)), len(p)) for p in np.array_split(np.arange(n), n // AT_ONCE + 1)])
     usable = np.flatnonzero(norm > 0)
     ranked = usable[np.argsort(-sure[usable], kind="stable")]
     typical = ranked[: min(5 * landmarks // 12, max(int((sure[usable] >= SURE).sum()), 1))]
@@ -343,12 +349,14 @@ def train(docs: list[tuple[bytes, float]], landmarks: int = LANDMARKS, rounds: i
     for _ in range(rounds):
         # units of toxic documents that are not rated toxic say nothing sure
         again = np.concatenate([np.repeat(np.flatnonzero(positive), 6), draw.choice(np.flatnonzero(~positive), min(int((~positive).sum()), 4000), replace=False)])
-        x = np.concatenate([base, model.kernel(spelled(found.take(again), draw))]) @ nystrom
+        x = np.concatenate([base, model.kernel(spelled(found.take(again), draw))])
         up, down = np.where(positive, toxic, 0.0), np.where(positive, clean, clean + 0.5 * toxic)
         up, down = np.concatenate([up, up[again]]), np.concatenate([down, down[again]])
-        # a unit may be an example of both classes; those like no landmark are all one point, which weighs little
-        up, down = up / max(up.sum(), 1e-9), down * np.where(x.any(axis=1), 1.0, 0.01)
-        w = _machine(np.concatenate([x, x]), np.concatenate([np.ones(len(x)), np.zeros(len(x))]), np.concatenate([up, NEG * down / max(down.sum(), 1e-9)]), PEN)
+        # units like no landmark are all one point, which weighs little
+        like = x.any(axis=1)
+        alone = (up[~like].sum(), 0.01 * down[~like].sum())
+        x, up, down = np.concatenate([x[like] @ nystrom, np.zeros((1, nystrom.shape[1]))]), np.append(up[like], alone[0]), np.append(down[like], alone[1])
+        w = _machine(x, up / max(up.sum(), 1e-9), NEG * down / max(down.sum(), 1e-9), PEN)
         margin = base @ (nystrom @ w[:-1]) + w[-1]
         after = (sure > 0) & (margin > 0)
         if not after.any() or (after == positive).all():

@@ -35,6 +35,14 @@ def test_phrases_are_those_of_plain_counting(spark, seed, min_count, top, block)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 4
 
 
+def test_words_that_few_mappers_name(spark, monkeypatch):
+    """With less than one namer a word most words are missed at first."""
+    monkeypatch.setattr(collocations, "NAMERS", 0.6)
+    rows = texts(6)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    assert sorted(map(tuple, collocations.mine(df, min_count=5).collect())) == sorted(collocations.brute(rows, 5, 2000))
+
+
 def test_nothing_frequent(spark):
     df = spark.createDataFrame(texts(4, 5), "text string, lang string")
     assert collocations.mine(df, min_count=10**6).count() == 0 and collocations.mine(df.limit(0)).count() == 0

@@ -23,12 +23,13 @@ ties are broken as documented in mine(); further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,14 @@ from .marks import LARGEST, Marks
 from .storage import materialize, release, share
 
 U = np.uint64
-SLOT_BITS = 28
+SLOT_BITS = 52
 BLOCK = 1 << 22
 CHUNK, HELD, FAN = 1 << 15, 256, 64
 #: Different keys that a mapper gathers before it hands them on.
 GATHERED = 1 << 20
 LANGUAGES = 10_000
+#: Mappers that name a word, about.
+NAMERS = 8
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = ragged.byte_class("..,,;;::!!??\x0a\x0d  \t\t")
 _PIECE = ~ragged.byte_class("..,,;;::!!??\x0a\x0d")
@@ -166,8 +169,8 @@ class _Gather:
             yield self._merged()
 
 
-def _sieve(source: DataFrame, keys_of: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], min_count: int) -> Broadcast | None:
-    """A bitmap of the slots that reach min_count, None if there are none."""
+def _sieve(source: DataFrame, keys_of: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], min_count: int) -> tuple[DataFrame, Broadcast | None]:
+    """The slots that reach min_count and a bitmap of them, None if there are none."""
     schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +182,9 @@ def _sieve(source: DataFrame, keys_of: Callable[[Iterable[pa.RecordBatch]], Iter
             yield ragged.batch(schema, *out)
 
     left = source.mapInArrow(summed, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    left = materialize(left.select(F.shiftleft("slot", 64 - SLOT_BITS).alias("h")), "slots")
+    left = materialize(left.select("slot"), "slots")
     n = left.count()
-    marks = Marks.of(left, "h", min(max((256 * n).bit_length(), 20), LARGEST)) if n else None
-    release(left)
-    return share(source.sparkSession, marks) if n else None
+    return left, share(source.sparkSession, Marks.of(left.select(F.shiftleft("slot", 64 - SLOT_BITS).alias("h")), "h", min(max((256 * n).bit_length(), 20), LARGEST))) if n else None
 
 
 def _hashes(keys: DataFrame, block: int) -> Iterator[tuple[int, int, Broadcast]]:
@@ -212,23 +213,23 @@ def _counts(ids: DataFrame) -> DataFrame:
                 c = int(chunk[s])
                 if c not in held:
                     if len(held) == HELD:
-                        yield ragged.batch(schema, list(held), [v.tobytes() for v in held.values()])
+                        yield ragged.batch(schema, list(held), [zlib.compress(v.tobytes(), 1) for v in held.values()])
                         held.clear()
                     held[c] = np.zeros(CHUNK, np.int64)
                 held[c] += np.bincount(x[s:e] - c * CHUNK, minlength=CHUNK)
         if held:
-            yield ragged.batch(schema, list(held), [v.tobytes() for v in held.values()])
+            yield ragged.batch(schema, list(held), [zlib.compress(v.tobytes(), 1) for v in held.values()])
 
     def added(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for v in table.column("counts"):
-            total += np.frombuffer(v.as_py(), np.int64)
-        return pa.table({"chunk": table.column("chunk")[:1], "branch": table.column("branch")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(v.as_py()), np.int64)
+        return pa.table({"chunk": table.column("chunk")[:1], "branch": table.column("branch")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n = np.frombuffer(v, np.int64)
+                n = np.frombuffer(zlib.decompress(v), np.int64)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(at + c * CHUNK), pa.array(n[at])], names=["slot", "a"])
 
@@ -247,17 +248,21 @@ def _counts(ids: DataFrame) -> DataFrame:
 
 def _first_level(docs: DataFrame, min_count: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(words: slot, lang, word, a; totals: lang, n; arrays of slots of the texts), None if no word is frequent."""
-    marks = _sieve(docs, lambda batches: (x[1] for b in batches for x in _words(b.column(0), b.column(1))), min_count)
+    slots, marks = _sieve(docs, lambda batches: (x[1] for b in batches for x in _words(b.column(0), b.column(1))), min_count)
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64())])
 
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(wanted: Broadcast | None, share_of: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of the slots wanted, and how many words each language has; of the words a mapper names a share, by hash."""
         totals: dict[str, int] = {}
+        mine = ragged.mix(np.array([TaskContext.get().partitionId()], U))[0]
         seen = np.zeros(0, U)
         for b in batches:
             for row, key, check, _, data, starts, ends, langs in _words(b.column(0), b.column(1)):
                 for lang, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + n
-                at = np.flatnonzero(marks.value.marked(key)) if marks else np.zeros(0, np.int64)
+                at = np.flatnonzero(wanted.value.marked(key)) if wanted else np.zeros(0, np.int64)
+                if share_of < 1:
+                    at = at[ragged.mix(key[at] ^ mine) < U(int(share_of * 2**64))]
                 at = at[np.unique(key[at] ^ check[at] * U(3), return_index=True)[1]]
                 at = at[~np.isin(key[at] ^ check[at] * U(3), seen)]
                 seen = np.concatenate([seen, key[at] ^ check[at] * U(3)]) if len(seen) < GATHERED else np.zeros(0, U)
@@ -265,9 +270,18 @@ def _first_level(docs: DataFrame, min_count: int, block: int) -> tuple[DataFrame
                 yield ragged.batch(schema, [langs[r] for r in row[at]], [raw[s:e].decode() for s, e in zip(starts[at], ends[at], strict=True)], ragged.signed(key[at]), ragged.signed(check[at]), np.zeros(len(at), np.int64))
         yield ragged.batch(schema, list(totals), pa.nulls(len(totals), pa.string()), np.zeros(len(totals), np.int64), np.zeros(len(totals), np.int64), list(totals.values()))
 
-    found = docs.mapInArrow(candidates, "lang string, word string, key long, check long, n long")
-    found = materialize(found.groupBy("lang", "word", "key", "check").agg(F.sum("n").alias("n")), "words")
+    # some NAMERS mappers name each word; words of which none of them had an occurrence are few, and named by all that have
+    out, by = "lang string, word string, key long, check long, n long", ("lang", "word", "key", "check")
+    share_of = min(1.0, NAMERS / max(docs.rdd.getNumPartitions(), 1))
+    found = materialize(docs.mapInArrow(partial(candidates, marks, share_of), out).groupBy(*by).agg(F.sum("n").alias("n")), "words")
     keys, totals = found.filter("word is not null").select("lang", "word", "key", "check"), found.filter("word is null").select("lang", "n")
+    if marks is not None and share_of < 1:
+        left = keys.select(F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")).distinct()
+        missed = materialize(slots.join(left, "slot", "left_anti"), "missed")
+        if missed.limit(1).count():
+            rest = share(docs.sparkSession, Marks.of(missed.select(F.shiftleft("slot", 64 - SLOT_BITS).alias("h")), "h", LARGEST))
+            more = docs.mapInArrow(partial(candidates, rest, 1.0), out).filter("word is not null")
+            keys = materialize(keys.unionByName(more.select(*by)).distinct(), "words")
     if marks is None:
         return None
 

@@ -22,6 +22,7 @@ ties are broken as documented in mine(); further columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -30,7 +31,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ragged
@@ -38,7 +39,7 @@ from .marks import LARGEST, Marks
 from .storage import materialize, release, share
 
 U = np.uint64
-SLOT_BITS = 52
+SLOT_BITS = 44
 BLOCK = 1 << 22
 CHUNK, HELD, FAN = 1 << 15, 256, 64
 #: Different keys that a mapper gathers before it hands them on.
@@ -308,7 +309,7 @@ def _first_level(docs: DataFrame, min_count: int, block: int) -> tuple[DataFrame
         part = keys.mapInArrow(_numbered(base, seed, table, 2), "lang string, word string, slot long")
         named = part if named is None else named.unionByName(part)
     ids = rows
-    return named.join(_counts(ids), "slot"), totals, ids
+    return materialize(named.join(_counts(ids), "slot"), "words"), totals, ids
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, None]]:
@@ -380,6 +381,12 @@ def _next_level(ids: DataFrame, min_count: int, block: int) -> tuple[DataFrame,
     return named.join(_counts(after), "slot"), after
 
 
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files of a level that is written out go with the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
     """floor(1000 * a * n / (left * right)) in decimals of 38 digits."""
     whole = lambda x: x.cast("decimal(19,0)")
@@ -402,6 +409,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     one = F.array("a")
     level = materialize(words.filter(F.col("a") >= min_count).select("slot", "lang", F.array("word").alias("words"), one.alias("pre"), one.alias("suf"), "a"), "level")
     levels = []
+    _forget(spark)
     while len(levels) + 2 <= longest:
         found = _next_level(ids, min_count, block)
         release(ids)
@@ -413,6 +421,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         joined = phrases.filter(F.col("a") >= min_count).join(head, "hi").join(tail, "lo")
         level = materialize(joined.select("slot", "hi", "lo", "lang", F.concat("words", F.array("last")).alias("words"), F.concat("pre", one).alias("pre"), F.concat("suf", one).alias("suf"), "a"), "level")
         levels.append(level)
+        _forget(spark)
     kept = None
     for i, now in enumerate(levels):
         if i + 1 < len(levels):

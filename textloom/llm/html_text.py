@@ -6,7 +6,8 @@ role says advert, notice, comment and the like) give none.  A name is judged by
 and only mentions furniture (content-sidebar-wrap, no-sidebar) opens no zone.  A zone by name alone that holds most of the page's
 text (beside text of a marked article also over LONG characters, outside it four fifths) is left to the two passes, one of
 comments only if it holds all of it.  Pass one decides every
-block that its link density, length and stop-word density can decide; pass
+block that its link density, length and stop-word density can decide (where most of the page's prose holds hardly a
+word of the list, which is of four languages, length, link density and how the block ends decide); pass
 two lets the blocks left, short or middling, inherit the label of the nearest
 decided neighbour, of both if they agree, else of the nearer one.
 
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from ..functions.text import CONTENT_NAME
 
 SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.15, 0.25
+STOP_NONE, STOP_LOW, STOP_HIGH = 0.05, 0.15, 0.25
+SENTENCE_ENDS = ".!?…。！？।؟۔።"
 LINKED, LINKED_SHORT = 0.5, 0.25
 #: Sibling articles count beside the largest from this fraction of its text: 1 / SIBLING.
 SIBLING = 4
@@ -67,7 +69,7 @@ MODIFIERS = frozenset(["no", "has", "with", "without"])
 
 _CONTENT = re.compile(CONTENT_NAME)
 _CONTENT_TOKEN = re.compile(f"(?:{CONTENT_NAME})$")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,5000})>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -258,14 +260,27 @@ def _stop_share(b: Block) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
 
 
-def _decide(b: Block, inside: bool) -> bool | None:
-    """Pass one: True main text, False furniture, None undecided."""
+def _fits(found: list[Block]) -> bool:
+    """Whether the stop words are of the page's language: unless most of its prose, by length and links, holds hardly any of them."""
+    fitting = strange = 0
+    for b in found:
+        if len(b.text) >= SHORT and b.linked <= LINKED_SHORT * len(b.text):
+            stop = _stop_share(b)
+            fitting += len(b.text) * (stop >= STOP_LOW)
+            strange += len(b.text) * (stop < STOP_NONE)
+    return strange <= 2 * fitting
+
+
+def _decide(b: Block, inside: bool, fits: bool = True) -> bool | None:
+    """Pass one: True main text, False furniture, None undecided; by length and links alone where the stop words do not fit."""
     size = len(b.text)
     share = b.linked / size
     if share > LINKED or (size < SHORT and share > LINKED_SHORT and not inside):
         return False
     if size < SHORT or b.heading:
         return None
+    if not fits:
+        return True if share <= LINKED_SHORT and (size > LONG or b.text[-1] in SENTENCE_ENDS) else None
     stop = _stop_share(b)
     if stop >= STOP_HIGH or (inside and size > LONG):
         return True
@@ -320,11 +335,11 @@ def _inherit_inside(found: list[Block], first: list[bool | None]) -> list[bool]:
     return out
 
 
-def _marked(found: list[Block]) -> list[bool] | None:
+def _marked(found: list[Block], fits: bool) -> list[bool] | None:
     """Which blocks the page's marked article holds; None if no mark holds most of the text that the passes accept."""
     if not any(b.article or b.main for b in found):
         return None
-    weights = [(len(b.text) - b.linked) * ok for b, ok in zip(found, _inherit(found, [_decide(b, True) for b in found]), strict=True)]
+    weights = [(len(b.text) - b.linked) * ok for b, ok in zip(found, _inherit(found, [_decide(b, True, fits) for b in found]), strict=True)]
     sizes: dict[int, int] = {}
     for b, w in zip(found, weights, strict=True):
         if b.article:
@@ -337,13 +352,14 @@ def _marked(found: list[Block]) -> list[bool] | None:
 
 
 def classify(found: list[Block]) -> list[bool]:
-    inside = _marked(found)
+    fits = _fits(found)
+    inside = _marked(found, fits)
     if inside is None:
-        return _inherit(found, [_decide(b, False) for b in found])
+        return _inherit(found, [_decide(b, False, fits) for b in found])
     at = [i for i, x in enumerate(inside) if x]
     within = [found[i] for i in at]
-    labels = dict(zip(at, _inherit_inside(within, [_decide(b, True) for b in within]), strict=True))
-    return [labels[i] if i in labels else len(b.text) > LONG and _stop_share(b) >= STOP_HIGH and _decide(b, False) is True for i, b in enumerate(found)]
+    labels = dict(zip(at, _inherit_inside(within, [_decide(b, True, fits) for b in within]), strict=True))
+    return [labels[i] if i in labels else fits and len(b.text) > LONG and _stop_share(b) >= STOP_HIGH and _decide(b, False) is True for i, b in enumerate(found)]
 
 
 def main_text(page: str | None) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import choose_title
-from ..operators import locate, paragraphs, plan
+from ..operators import locate, paragraphs, plan, root_text
 from ..sources import pages
 from .catalog import query, table, texts
 
@@ -64,3 +64,13 @@ def enclosing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", pages.lead_image(F.col("html")).alias("image"), pages.meta(F.col("html"), "name", "author").alias("author"))
+
+
+@query()
+def root_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element that holds each page's article, by pieces of its longest paragraphs; null where they do not tell."""
+    p = texts(spark, sf_dir, "pages", "page_id", "html")
+    elements = pages.elements(p)
+    roots = root_text.root_by_text(elements, pages.text_rows(p), pages.paragraphs(p))
+    tags = elements.select("page_id", F.col("node").alias("root"), "tag")
+    return roots.join(tags, ["page_id", "root"], "left").select("page_id", "root", "tag")

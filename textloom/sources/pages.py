@@ -70,6 +70,38 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return rows.mapInArrow(run, "id long, node long, end long, parent long, depth long, tag string, chars long").withColumnRenamed("id", id_col)
 
 
+class _Texts(html_tree._Builder):
+    """Elements, and texts in document order with the number of the element around each."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.texts: list[tuple[int, str]] = []
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        self.texts.append((self.open[-1], data))
+
+
+def text_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, seq, node, text) of every text of a page in order, by the element right around it; texts of scripts and the like are left out."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part, out = b.slice(at, 64), []
+                for i, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    page = _Texts()
+                    page.feed(html or "")
+                    page.close()
+                    out += [(i, seq, node, text) for seq, (node, text) in enumerate(page.texts) if page.elements[node].tag not in html_tree.UNREAD]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
+
+    names = ["id", "seq", "node", "text"]
+    return rows.mapInArrow(run, "id long, seq long, node long, text string").withColumnRenamed("id", id_col)
+
+
 def subtree_chars(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Adds total: characters of each element and all inside it, a difference of running sums in preorder, so no range join is needed."""
     from pyspark.sql import Window

@@ -3,7 +3,7 @@
 A text is cut into blocks of BLOCK characters; its n-grams at every STRIDE-th place are the index.  A needle that occurs at place p has an
 n-gram at such a place whatever p is, so for each of the STRIDE remainders one n-gram of the needle, the one that is rarest in the index, is
 enough to find all its occurrences.  What joins is verified block by block against the text itself.  Shorter needles use an index of
-shorter n-grams at every place.
+shorter n-grams at every place.  N-grams are compared by 64-bit hashes, which the verification makes exact.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 BLOCK = 256
 #: (least length of a needle, length of an n-gram, stride) of the indexes, longest first; a needle uses the first that it is long enough for.
 INDEXES = ((19, 12, 8), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
 #: An n-gram that makes up more than one in SHARE of the index is hot: there are fewer than SHARE of those, and their rows are dealt over SALTS keys.
 SHARE, SALTS = 1000, 32
+#: Of a needle's n-grams those at its first places are looked up; any of the right remainder finds all its occurrences.
+SEEDS = 4096
 
 
 def _blocks(texts: DataFrame, ids: list[str], text: str) -> DataFrame:
@@ -28,16 +32,20 @@ def _blocks(texts: DataFrame, ids: list[str], text: str) -> DataFrame:
 
 
 def _grams(chars: Column, last: Column, q: int, stride: int) -> Column:
-    """Places and n-grams of a block: at every stride-th place of its own, 0 to `last`."""
+    """Places and hashes of n-grams of a block: at every stride-th place of its own, 0 to `last`."""
     places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(chars, i + 1, F.lit(q)).alias("gram")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring(chars, i + 1, F.lit(q))).alias("gram")))
+
+
+def _gram_at(needle: str, at: Column, q: int) -> Column:
+    return F.xxhash64(F.substring(F.col(needle), at + 1, F.lit(q)))
 
 
 def _seeds(needles: DataFrame, needle: str, q: int, stride: int) -> DataFrame:
-    """Every n-gram of each needle with its place and the remainder of that place."""
-    places = F.sequence(F.lit(0), F.length(needle) - q)
-    seeds = F.transform(places, lambda i: F.struct(i.alias("at"), (i % stride).alias("rest"), F.substring(F.col(needle), i + 1, F.lit(q)).alias("gram")))
-    return needles.select("*", F.explode(seeds).alias("__s")).select("*", F.col("__s.at").alias("__at"), F.col("__s.rest").alias("__rest"), F.col("__s.gram").alias("__gram")).drop("__s")
+    """The n-grams at the first SEEDS places of each needle, with the remainder of the place; every remainder is among them."""
+    places = F.sequence(F.lit(0), F.least(F.length(needle) - q, F.lit(SEEDS - 1)))
+    seeds = needles.select("*", F.explode(places).alias("__at"))
+    return seeds.withColumns({"__rest": F.col("__at") % stride, "__gram": _gram_at(needle, F.col("__at"), q)})
 
 
 def _candidates(blocks: DataFrame, needles: DataFrame, ids: list[str], scope: list[str], needle_id: str, needle: str, q: int, stride: int) -> DataFrame:
@@ -48,13 +56,15 @@ def _candidates(blocks: DataFrame, needles: DataFrame, ids: list[str], scope: li
     seeds = _seeds(needles, needle, q, stride)
     # how often the needles' n-grams occur: counted before the shuffle, only those of needles
     known = seeds.select(*scope, "__gram").distinct()
-    counts = index.join(known, [*scope, "__gram"], "left_semi").groupBy(*scope, "__gram").agg(F.count("*").alias("__n"))
+    counts = materialize(index.join(known, [*scope, "__gram"], "left_semi").groupBy(*scope, "__gram").agg(F.count("*").alias("__n")), "grams")
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all")).scalar()
     hot = counts.filter(F.col("__n") * SHARE > total).select(*scope, "__gram", F.lit(True).alias("__hot"))
     rated = seeds.join(counts, [*scope, "__gram"], "left")
     # an n-gram of a remainder that never occurs rules that remainder out
-    best = rated.groupBy(*scope, needle_id, needle, "__rest").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__at").alias("at"), F.col("__gram").alias("gram"))).alias("__b"))
-    best = best.filter("__b.n > 0").select(*scope, needle_id, needle, F.col("__b.at").alias("__at"), F.col("__b.gram").alias("__gram"))
+    # count and place in one number, so that the least is found by hash aggregation
+    best = rated.groupBy(*scope, needle_id, needle, "__rest").agg(F.min(F.coalesce("__n", F.lit(0)) * SEEDS + F.col("__at")).alias("__b"))
+    best = best.filter(F.col("__b") >= SEEDS).withColumn("__at", (F.col("__b") % SEEDS).cast("int"))
+    best = best.select(*scope, needle_id, needle, "__at", _gram_at(needle, F.col("__at"), q).alias("__gram"))
     # hot n-grams, fewer than SHARE in all, are broadcast; their rows of the index are dealt over salts, those of needles repeated
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*ids, "__pos"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = index.join(F.broadcast(hot), [*scope, "__gram"], "left").withColumn("__salt", salt).drop("__hot")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text, titles
 from ..functions.chunk import chunk_spans, middle_split
 from ..functions.normalize import normalize
-from ..operators import evaluate, locate, paragraphs, plan
+from ..operators import evaluate, locate, needles, paragraphs, plan
 from .catalog import query, table, texts
 
 WS = text.WS
@@ -437,3 +437,17 @@ def budget_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.chunk import budget_parts as parts
 
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(parts("text", F.lit(500))).alias("n_parts"))
+
+
+@query("""
+WITH c AS (SELECT item_id, text, r.rank AS rank, greatest(CAST(floor((len(text) - 50) * r.share) AS INT), 0) AS s FROM benchmark, (VALUES (0, 0.5::DOUBLE), (1, 0.2::DOUBLE), (2, 0.8::DOUBLE)) r(rank, share)),
+n AS (SELECT item_id, rank, substr(text, CASE WHEN instr(substr(text, s + 1), ' ') > 0 THEN s + instr(substr(text, s + 1), ' ') ELSE 0 END + 1, 50) AS snippet FROM c),
+h AS (SELECT item_id, rank, doc_id, snippet, text, len(text) // 2 AS half FROM n JOIN documents ON contains(text, snippet) WHERE len(snippet) >= 40)
+SELECT item_id, rank, doc_id, CAST(CASE WHEN instr(substr(text, half + 1), snippet) > 0 THEN half + instr(substr(text, half + 1), snippet) ELSE instr(text, snippet) END - 1 AS INT) AS at FROM h
+""")
+def needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where three pieces of every benchmark item stand in all documents: the first place in the second half of a document, else the first of all."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(needles.snippets(F.col("text"))).alias("s")).select(F.struct("item_id", "s.rank").alias("needle_id"), F.col("s.snippet").alias("needle"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn("half", F.floor(F.length("text") / 2))
+    found = needles.occurrences(docs, items, ["doc_id", "half"])
+    return needles.first_from(found, ["needle_id", "doc_id"], F.col("half")).select("needle_id.item_id", "needle_id.rank", "doc_id", "at")

@@ -16,10 +16,13 @@ suffixes are thinned without loss before they are sorted:
    orders are merged, and adjacent suffixes that start a window are compared over `length` bytes.
 
 Texts with an exact copy repeat throughout and are sorted once a task only.  Inner cores of more than LARGE
-blocks are dealt out by each start's whole window, so that no task holds an unbounded group.
+blocks are not sorted: each of their starts is a row of its own, and an aggregate over the windows' bytes, combined before the
+shuffle, tells which windows start at two places or more.  The starts join those windows, salted where a window has over
+HEAVY starts.  So no task holds an unbounded group, and two places decide, however many there are.
 
 Defined cases: null and short texts lose nothing; matches never cross texts; equal rows are copies of each other; an
-empty table gives an empty result; other columns are ignored.  Windows are told apart by 64-bit hashes.
+empty table gives an empty result; other columns are ignored.  Windows of large inner cores are told apart by their bytes; cores,
+blocks, and neighbours in a suffix array by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from .storage import materialize, share
 
 LENGTH, WINDOW, GRAM, STARTS = 400, 256, 16, 64
 LARGE = 2048
+#: Starts of one window from which on they are dealt out over SALTS tasks.
+HEAVY, SALTS = 4096, 32
 #: Bytes whose suffixes a task sorts at once, whole groups at least.
 SORTED_BYTES = 1 << 19
 REMEMBERED = 1_000_000
@@ -242,11 +247,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
     mixed = alike.groupBy("inner").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 AND least = 1")
     mixed = materialize(mixed, "mixed")
     unsure = share(spark, (Marks.of(mixed, "inner"), Marks.of(mixed.filter(F.col("kinds") > LARGE), "inner")))
-    bytes_schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+    bytes_schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
-        for b, i, _, text in texts(batches):
+        for _, _, _, text in texts(batches):
             some = np.flatnonzero(known.value.marked(text.cores()))
             if not len(some):
                 continue
@@ -261,19 +266,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
                 s, e = int(a[j]), int(z[j])
                 if large[j]:
                     p = np.arange(s, e + 1)
-                    out += [(h, name, k - s, 1, text.data[k : k + length].tobytes(), k) for h, k in zip(ragged.signed(text.hash(p, p + length)).tolist(), p.tolist(), strict=True)]
+                    out += [(h, name, k - s, 1, True, text.data[k : k + length].tobytes()) for h, k in zip(ragged.signed(text.hash(p, p + length)).tolist(), p.tolist(), strict=True)]
                 else:
-                    out.append((ragged.signed(inner[j : j + 1])[0], name, 0, e - s + 1, text.data[s : e + length].tobytes(), s))
+                    out.append((ragged.signed(inner[j : j + 1])[0], name, 0, e - s + 1, False, text.data[s : e + length].tobytes()))
             if len(passed) > REMEMBERED:
                 passed.clear()
             if out:
-                shard, name, start, n, data, at = zip(*out, strict=True)
-                yield ragged.batch(bytes_schema, shard, ragged.signed(np.array(name, U)), start, n, [b.column(0)[i].as_py()] * len(n), [b.column(1)[i].as_py()] * len(n), at, data)
+                shard, name, start, n, hot, data = zip(*out, strict=True)
+                yield ragged.batch(bytes_schema, shard, ragged.signed(np.array(name, U)), start, n, hot, data)
 
+    parts = materialize(long_rows.mapInArrow(_joined(contents, bytes_schema), "shard long, block long, start int, n int, hot boolean, bytes binary"), "contents")
     # a block may come from several tasks: one of its texts stands for all
-    parts = long_rows.mapInArrow(_joined(contents, bytes_schema), "shard long, block long, start int, n int, doc_id long, key long, at long, bytes binary")
-    parts = parts.join(mixed.select(F.col("inner").alias("m")), F.col("shard") == F.col("m"), "left").filter(F.col("m").isNotNull() | (F.col("n") == 1)).drop("m")
-    one = parts.groupBy("shard", "block", "start").agg(F.first(F.struct("n", "bytes")).alias("x")).select("shard", "block", "start", "x.*")
+    few = parts.filter("NOT hot").join(mixed.select(F.col("inner").alias("m")), F.col("shard") == F.col("m"), "left_semi")
+    one = few.groupBy("shard", "block", "start").agg(F.first(F.struct("n", "bytes")).alias("x")).select("shard", "block", "start", "x.*")
     mark_schema = pa.schema([("block", pa.int64()), ("marks", pa.list_(pa.int32()))])
 
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +303,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
 
     marks = one.repartition("shard").sortWithinPartitions("shard", "block", "start").mapInArrow(order, "block long, marks array<int>")
     whole = alike.filter("c > 1").select(F.col("block").alias("b"), F.lit(None).cast("array<int>").alias("marks"))
+    marks = marks.unionByName(_repeated_windows(parts.filter("hot").select("shard", "block", "start", "bytes")))
     parted = marks.groupBy(F.col("block").alias("b")).agg(F.flatten(F.collect_list("marks")).alias("marks"))
     once = alike.filter("c = 1").select(F.col("block").alias("b")).distinct()
     decided = materialize(whole.unionByName(parted.join(once, "b", "left_semi")), "decided")
@@ -338,6 +344,31 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id
     return out.select("doc_id", "key", "n_bytes", F.when(twin, everything).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {spans_type})"))).alias("spans"), F.when(twin, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
 
 
+def _repeated_windows(starts: DataFrame) -> DataFrame:
+    """(block, marks) of the rows (shard, block, start, bytes) whose bytes are those of another row too; shard is a hash of the bytes."""
+    places = [f(c).alias(f"{name}_{c}") for c in ("block", "start") for name, f in (("least", F.min), ("most", F.max))]
+    windows = starts.groupBy("shard", "bytes").agg(F.count("*").alias("c"), *places)
+    windows = windows.filter("least_block <> most_block OR least_start <> most_start").select(F.col("shard").alias("w"), F.col("bytes").alias("same"), "c")
+    windows = materialize(windows, "windows")
+    heavy = share(starts.sparkSession, Marks.of(windows.filter(F.col("c") > HEAVY), "w"))
+
+    def flag(df: DataFrame) -> DataFrame:
+        """Whether the bitmap marks the first column; both sides of the join ask the same bitmap."""
+        names = [*df.columns, "heavy"]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heavy.value.marked(np.array(b.column(0), np.int64).view(U)))], names=names)
+
+        return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", heavy boolean")
+
+    dealt = flag(starts).withColumn("salt", F.when(F.col("heavy"), F.pmod("block", F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    windows = flag(windows.drop("c")).select("w", "same", F.explode(salts).alias("s"))
+    met = dealt.join(windows, (F.col("shard") == F.col("w")) & (F.col("salt") == F.col("s")) & (F.col("bytes") == F.col("same")), "left_semi")
+    return met.select("block", F.array("start").alias("marks"))
+
+
 def _covered(found: pa.Array, offs: np.ndarray, length: int) -> np.ndarray:
     """Which bytes of some texts, laid end to end, lie in repeated windows; `found` lists each text's blocks (start, n, marks)."""
     lists, blocks = np.asarray(found.offsets), found.flatten()

@@ -8,7 +8,9 @@ in a prefix shingle come together in a cluster.  A cluster is named by the most
 shingle's group, its pivot: the one whose shingles are the most frequent on average, from which the others most likely stem.
 
 Before that, sets that cannot be similar to any are screened out.  Similar sets share not one prefix shingle but, the closer their sizes, the more
-of them, as shared shingles come in the same order in both; a set stays only if it shares enough with sets of some sizes.
+of them, as shared shingles come in the same order in both; a set stays only if it shares enough with sets of some sizes.  And a set enters a shingle's
+group only if there the shingle can be the first that it shares with a similar set, by what follows it in both: forms that differ a little too
+much to be similar meet nowhere, however many they are.
 
 Inside a cluster the ordered sets form a trie.  A set walks the trie once for all
 others: partial overlaps are counted once a shared path, and a subtree is left as
@@ -271,9 +273,49 @@ def _needs(token: np.ndarray, name: np.ndarray, place: np.ndarray, percent: int)
     return name[some], np.minimum(least_shared(n_own, n[low], percent), least_shared(n_own, n[high], percent))
 
 
+def first_shared(token: np.ndarray, n: np.ndarray, at: np.ndarray, several: np.ndarray, percent: int) -> np.ndarray:
+    """Rows whose token can be the first shingle shared with a similar set of another row of the token.
+
+    Rows come by token and size, at: the token's place in the set.  Where it is the first shared, the sets share what follows in both at
+    most, the lesser of n - at and n' - at', and similar ones share percent (n + n') / (100 + percent) or more.  A row that stands for
+    `several` sets may meet itself.
+    """
+    group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+    sure = np.flatnonzero(several | (np.bincount(group)[group] > 1))
+    if not len(sure):
+        return sure
+    group, n, at, several = group[sure] << 30, n[sure], at[sure], several[sure]
+    key, own = group + n, np.arange(len(n))
+    room = (100 + percent) * (n - at) - percent * n  # of a partner: percent times the own size at least
+    low = np.searchsorted(key, group - (-percent * n // 100))
+    most = np.minimum(100 * n // percent, (100 + percent) * (n - at) // percent - n)
+    high = np.maximum(np.searchsorted(key, group + np.maximum(most, 0), "right"), low)
+    runs = [room]  # greatest room of 1, 2, 4, ... neighbours
+    while 2 << (len(runs) - 1) <= (high - low).max():
+        half = 1 << (len(runs) - 1)
+        runs.append(np.maximum(runs[-1][:-half], runs[-1][half:]))
+
+    def greatest(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Of rows a to z - 1; below every room where there are none."""
+        out = np.full(len(a), np.iinfo(np.int64).min)
+        power = np.frexp(np.maximum(z - a, 0).astype(float))[1] - 1
+        for k, run in enumerate(runs):
+            of = np.flatnonzero(power == k)
+            out[of] = np.maximum(run[a[of]], run[z[of] - (1 << k)])
+        return out
+
+    best = np.maximum(greatest(low, np.minimum(own, high)), greatest(np.maximum(own + 1, low), high))
+    best = np.where(several & (low <= own) & (own < high), np.maximum(best, room), best)
+    return sure[best >= percent * n]
+
+
 def _pairs(token: np.ndarray, name: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """Distinct rows (pivot, name) of whole groups of equal tokens; place: centrality, size and prefix place of the set, packed."""
     token, name, central, n, at = _unpacked(token, name, place)
+    some = first_shared(token, n, at, np.zeros(len(n), bool), percent)
+    token, name, central, n, at = token[some], name[some], central[some], n[some], at[some]
+    if not len(token):
+        return np.zeros((0, 2), np.int64)
     # sizes ascend inside a group: where one is too small for the next, nothing before is similar to anything after
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])])
     begins, part = np.flatnonzero(new), np.cumsum(new) - 1
@@ -360,11 +402,34 @@ def _clusters(rows: DataFrame, levels: Broadcast, shingle: int, percent: int) ->
     met = _by_token(cool(tokens), meet, "pivot long, name long")
     if is_hot:
         hot = materialize(tokens.filter(level >= HOT_LEVEL), "hot")
+        hot = _hot_meetings(hot, percent)
         first = hot.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(-F.shiftright("place", 55), F.col("name").alias("pivot"))).alias("x")).select("t", "x.pivot")
         met = met.unionByName(hot.join(first, F.col("token") == F.col("t")).filter("pivot <> name").select("pivot", "name"))
     return materialize(met.distinct(), "clusters")
 
 
+def _hot_meetings(hot: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, name, place) of frequent tokens that first_shared() leaves, judged by the sizes and places that a token has, not by its sets."""
+    size, at = F.expr("shiftright(place, 27) & ((1L << 28) - 1)"), F.expr("place & ((1L << 27) - 1)")
+    kinds = hot.groupBy("token", size.alias("n"), at.alias("at")).agg(F.count("*").alias("c"))
+
+    def judge(token: np.ndarray, n: np.ndarray, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((at, n, token))
+        token, n, at, c = token[order], n[order], at[order], c[order]
+        some = first_shared(token, n, at, c > 1, percent)
+        return token[some], n[some], at[some]
+
+    left = _by_token(kinds, judge, "token long, n long, at long").select(F.xxhash64("token", "n", "at").alias("kind"))
+    marks = share(hot.sparkSession, Marks.of(materialize(left, "kinds"), "kind"))
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marks.value.marked(np.array(b.column(3), np.int64).view(U)))).select([0, 1, 2])
+
+    found = hot.select("token", "name", "place", F.xxhash64("token", size, at).alias("kind"))
+    return materialize(found.mapInArrow(kept, "token long, name long, place long"), "hot_kept")
+
+
 def _stored(rows: DataFrame, met: DataFrame, levels: Broadcast, shingle: int) -> DataFrame:
     """(member, n, shingles) of every set of a cluster, once: shingles of 6 bytes in global order."""
     names = met.select("name").unionByName(met.select(F.col("pivot").alias("name")))

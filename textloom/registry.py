@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import page_plans, place_plans, session_plans, table_plans, text_plans  # noqa: F401  they register themselves
+from .plans import page_plans, place_plans, session_plans, store_plans, table_plans, text_plans  # noqa: F401  they register themselves
 from .plans.catalog import QUERIES, SQL
 
 FLAGSHIP = "article_stats"

@@ -96,3 +96,15 @@ def test_forms_below_the_threshold_meet_nowhere(spark, monkeypatch, hot):
         met[size] = tables["clusters"][0].count()
         sent[size] = sum(t.count() for t in tables.get("sent", []))
     assert all(met[size] <= 4 * size and sent[size] <= 4 * size for size in met), (met, sent)
+
+
+def test_a_group_of_copies_meets_nothing(spark, monkeypatch):
+    """Texts with an exact copy are decided by their number alone: none waits for its spans, and their join reads a table, whose side Spark deals anew."""
+    tables = written(monkeypatch, suffix_dedup)
+    rng = random.Random(8)
+    passage, copied = letters(rng, 500), letters(rng, 900)
+    rows = [(d, copied) for d in range(400)] + [(400 + d, letters(rng, 80) + passage + letters(rng, 80)) for d in range(3)] + [(403, letters(rng, 50) + copied[100:800]), (404, letters(rng, 700)), (405, None)]
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in suffix_dedup.find_repeats(spark.createDataFrame(rows, DOCS).repartition(8)).collect()}
+    assert got == suffix_dedup.brute(dict(rows))
+    assert tables["found"][0].count() == 4
+    assert [r.copies for r in tables["copies"][0].collect()] == [400]

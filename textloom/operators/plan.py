@@ -200,7 +200,8 @@ def stalls(rows: DataFrame, key: str, order: str, status: str, at: str) -> DataF
 
 
 def clamp(c: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(high, c))
+    """Null is the low end."""
+    return F.least(F.greatest(c, low), high)
 
 
 def ramp_split(rows: DataFrame, key: str, order: str, pieces: Column, text_col: str = "text") -> DataFrame:

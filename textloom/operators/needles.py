@@ -117,6 +117,15 @@ def first_from(found: DataFrame, keys: list[str], hint: Column) -> DataFrame:
     return found.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("at") >= hint, F.col("at"))), F.min("at")).alias("at"))
 
 
+SHARES = (0.5, 0.2, 0.8)
+
+
+def pieces(text: str, length: int = 50, least: int = 40) -> list[str]:
+    """The snippets of one text, the first choice first."""
+    starts = (text.find(" ", max(int((len(text) - length) * s // 1), 0)) + 1 for s in SHARES)
+    return [piece for piece in (text[at : at + length] for at in starts) if len(piece) >= least]
+
+
 def snippets(text: Column, length: int = 50, least: int = 40) -> Column:
     """Three pieces of a text, from its middle, a fifth and four fifths on, each from the start of a word; those shorter than `least` are left out."""
 
@@ -125,5 +134,5 @@ def snippets(text: Column, length: int = 50, least: int = 40) -> Column:
         space = F.call_function("locate", F.lit(" "), text, F.greatest(start, F.lit(0)) + 1)
         return F.substring(text, space + 1, F.lit(length))
 
-    tried = F.array(*[F.struct(F.lit(i).alias("rank"), piece(s).alias("snippet")) for i, s in enumerate((0.5, 0.2, 0.8))])
+    tried = F.array(*[F.struct(F.lit(i).alias("rank"), piece(s).alias("snippet")) for i, s in enumerate(SHARES)])
     return F.filter(tried, lambda s: F.length(s["snippet"]) >= least)

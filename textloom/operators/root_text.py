@@ -1,22 +1,85 @@
 """The element of a page that holds an article, found by the article's text alone.
 
 For pages whose paragraphs have no element of their own (texts between line breaks, rewritten blocks).  Pieces of an article's longest paragraphs
-are sought in all texts of its page by one index of n-grams; the root is the innermost element whose interval covers the texts that were met.
+are sought in all texts of its page; the root is the innermost element whose interval covers the texts that were met.  Where a row holds the whole
+page, as in the table of pages, the page is parsed once and searched as it is, without a shuffle or a table between (`roots`).  Where elements, texts
+and paragraphs are tables of their own, one index of n-grams finds the pieces (`root_by_text`).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.html_tree import BLOAT, CONTAINERS, LEAST_PARAGRAPH, UNREAD, WRAPPERS
+from ..functions.text import WS, compiled, trim
+from ..sources.html_tree import BLOAT, CONTAINERS, LEAST_PARAGRAPH, UNREAD, WRAPPERS, Element, paragraphs_of
+from ..sources.pages import parse_with_texts
 from . import needles
 
 LONGEST, LEAST_TEXT = 6, 20
+WHOLE = frozenset(["body", "html", "#root"])
+_SPACES, _EDGES = compiled(f"[{WS}]+"), compiled(f"^[{WS}]+|[{WS}]+$")
 
 
 def _plain(c: str) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s\x{a0}]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+
+
+def _flat(text: str) -> str:
+    return _SPACES.sub(" ", text).strip(" ")
+
+
+def page_root(elements: list[Element], texts: list[tuple[int, str]], paragraphs: list[str]) -> Element | None:
+    """The root of one page's article, as root_by_text finds it; texts: (node, text) in order."""
+    long = sorted((p for p in map(_flat, paragraphs) if len(p) >= LEAST_PARAGRAPH), key=len, reverse=True)[:LONGEST]
+    hay = [(node, t) for node, t in ((node, _flat(text)) for node, text in texts) if len(t) >= LEAST_TEXT]
+    # one text: no piece holds a line break
+    whole, starts = "\n".join(t for _, t in hay), [0, *accumulate(len(t) + 1 for _, t in hay)]
+    places = (next((at for piece in needles.pieces(p) if (at := whole.find(piece)) >= 0), -1) for p in long)
+    met = [hay[bisect_right(starts, at) - 1][0] for at in places if at >= 0]
+    if not long or len(met) < min(2, len(long)):
+        return None
+    e, hi = elements[min(met)], max(met)
+    while e.end < hi or e.tag not in CONTAINERS and e.tag not in WHOLE:
+        e = elements[e.parent]
+    if e.tag not in WHOLE and not any(x.tag in WRAPPERS for x in elements[e.node + 1 : e.end + 1]):
+        e = elements[e.parent]
+    if e.tag in WHOLE:
+        return None
+    size, unread = 0, -1
+    own = {}
+    for node, text in texts:
+        own[node] = own.get(node, 0) + len(_EDGES.sub("", text))
+    # an element in something unread counts for nothing, wherever that begins
+    for x in elements[: e.end + 1]:
+        unread = max(unread, x.end) if x.tag in UNREAD else unread
+        size += own.get(x.node, 0) if x.node >= e.node and x.node > unread else 0
+    return e if size <= BLOAT * sum(map(len, paragraphs)) else None
+
+
+def roots(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, root, tag) of every page with paragraphs: the node of its article's root, null where the text does not tell.  A row holds its page, so nothing meets and nothing is written."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
+    schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("tag", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part, out = b.slice(at, 64), []
+                for i, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    elements, texts = parse_with_texts(html.as_py() or "")
+                    said = [text for _, _, text in paragraphs_of(elements)]
+                    if said:
+                        e = page_root(elements, texts, said)
+                        out.append((i, e and e.node, e and e.tag))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 3, schema.types, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "id long, root long, tag string").withColumnRenamed("id", id_col)
 
 
 def wanted(paragraphs: DataFrame, page: str = "page_id") -> DataFrame:
@@ -49,7 +112,7 @@ def root_by_text(elements: DataFrame, texts: DataFrame, paragraphs: DataFrame, p
     met = hits(pieces, texts, page).groupBy(page).agg(F.count("*").alias("met"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     known = met.join(sought, page).filter(F.col("met") >= F.least(F.lit(2), F.col("sought")))
     # figures of whole subtrees are differences of running sums in preorder
-    own = texts.groupBy(page, "node").agg(F.sum(F.length(F.trim("text"))).alias("own"))
+    own = texts.groupBy(page, "node").agg(F.sum(F.length(trim(F.col("text")))).alias("own"))
     body = F.col("tag").isin("body", "html", "#root")
     rows = elements.join(own, [page, "node"], "left").withColumns({"own": F.coalesce("own", F.lit(0)), "wrap": F.col("tag").isin(*sorted(WRAPPERS)).cast("long"), "at": F.when(F.col("tag").isin(*sorted(UNREAD)), F.col("end"))})
     preorder = Window.partitionBy(page).orderBy("node")

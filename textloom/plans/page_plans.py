@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.titles import choose_title
 from ..operators import locate, paragraphs, plan, root_text
 from ..sources import pages
-from ..storage import materialize
 from .catalog import query, table, texts
 
 
@@ -70,9 +69,4 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def root_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element that holds each page's article, by pieces of its longest paragraphs; null where they do not tell."""
-    p = texts(spark, sf_dir, "pages", "page_id", "html")
-    # read several times each: written once
-    elements, said, paras = materialize(pages.elements(p), "elements"), materialize(pages.text_rows(p), "texts"), materialize(pages.paragraphs(p), "paragraphs")
-    roots = root_text.root_by_text(elements, said, paras)
-    tags = elements.select("page_id", F.col("node").alias("root"), "tag")
-    return roots.join(tags, ["page_id", "root"], "left").select("page_id", "root", "tag")
+    return root_text.roots(texts(spark, sf_dir, "pages", "page_id", "html"))

@@ -82,6 +82,15 @@ class _Texts(html_tree._Builder):
         self.texts.append((self.open[-1], data))
 
 
+def parse_with_texts(html: str) -> tuple[list[html_tree.Element], list[tuple[int, str]]]:
+    """Elements of a page, and its texts in order, each with the number of the element right around it; texts of scripts and the like are left out."""
+    page = _Texts()
+    page.feed(html)
+    page.close()
+    page._close_to(0)
+    return page.elements, [(node, text) for node, text in page.texts if page.elements[node].tag not in html_tree.UNREAD]
+
+
 def text_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, seq, node, text) of every text of a page in order, by the element right around it; texts of scripts and the like are left out."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .normalize import normalize_text
+from .normalize import SIGNS, normalize_text, unruled
 
 # Character classes and patterns that the results depend on.
 #: Every kind of white space, for use inside a character class of Java and RE2 patterns.
@@ -133,23 +134,39 @@ def compiled(source: str) -> regex.Pattern:
 
 
 _PICTURES = regex.compile(r"[\p{Extended_Pictographic}\u200d\ufe0f]")
-_BEFORE, _AFTER, _ENDED = [(compiled(p), r) for p, r in BEFORE], [(compiled(p), r) for p, r in PUNCTUATION], compiled(ENDED)
+_BEFORE, _AFTER = [(compiled(p), r) for p, r in BEFORE], [(compiled(p), r) for p, r in PUNCTUATION]
+# What a text holds if a step finds anything; the marks of ENDED.
+_UNSEEN = re.compile("[\xa9\xad\xae\u2000-\U0010ffff]")  # all pictures and invisible characters
+_WANTS: list[Callable[[str], object]] = [_UNSEEN.search, lambda t: "[" in t, lambda t: "http" in (low := t.lower()) or "www." in low, lambda t: "@" in t]
+_MARKS = "“”«»‘’—–&/*_#`~^|<>{}\\\\\t-\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_MARKED = re.compile(f"[{_MARKS}]")
+#: Without any of these, double spaces, dots and a link to "www.", only rules of words are left.
+_SPECIAL = re.compile(f"[{SIGNS}{_MARKS}\\[\xa9\xad\xae\u2000-\U0010ffff]")
+_ENDS = frozenset(".!?…:;,\"')]")
 
 
 def cleaned(text: str, rules: Callable[[str], str] = lambda t: t) -> str:
     """What stands before and after the rules, with the rules between."""
-    for find, say in _BEFORE:
-        text = find.sub(say, text)
+    for wants, (find, say) in zip(_WANTS, _BEFORE, strict=True):
+        if wants(text):
+            text = find.sub(say, text)
     text = rules(text)
-    for find, say in _AFTER:
-        text = find.sub(say, text)
+    if "  " in text or "..." in text or _MARKED.search(text):
+        for find, say in _AFTER:
+            text = find.sub(say, text)
+    return _ended(text)
+
+
+def _ended(text: str) -> str:
     text = text.strip(" ")
-    return text if not text or _ENDED.search(text) else text + "."
+    return text if not text or text[-1] in _ENDS else text + "."
 
 
 def speech_text(text: str) -> str:
     """One segment of display text as a voice should read it; runs after chunking, so offsets stay those of the original."""
-    return cleaned(text, lambda t: normalize_text(_PICTURES.sub("", t)))
+    if not _SPECIAL.search(text) and "  " not in text and "..." not in text and "www." not in text.lower() and unruled(text):
+        return _ended(text)
+    return cleaned(text, lambda t: normalize_text(_PICTURES.sub("", t) if _UNSEEN.search(t) else t))
 
 
 @F.pandas_udf(T.StringType())

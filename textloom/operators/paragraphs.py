@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PROMO_INLINE, PROMO_LABEL, collapse, let, trim
+from ..functions.text import PROMO_INLINE, PROMO_LABEL, WS, collapse, compiled, let, trim
 from ..functions.titles import SEPARATOR, clean_title
 
 
@@ -36,6 +38,30 @@ def paragraph_array(text: Column) -> Column:
     return F.transform(chosen, collapse)
 
 
+_SPACES, _SPACE = compiled(f"[{WS}]+"), "".join(chr(i) for i in range(0x10000) if compiled(f"[{WS}]").match(chr(i)))
+_ODD = re.compile(f"[{re.escape(_SPACE.replace(' ', ''))}]|  ")
+_BLANK, _SENTENCE_GAP = re.compile("\n{2,}"), re.compile("(?<=[.!?])(?=[^.!?])")
+
+
+def paragraph_list(text: str | None, enough: int = 300) -> list[str]:
+    """The same as paragraph_array, of one text in Python."""
+    if text is None:
+        return []
+    parts = [p for p in (x.strip(_SPACE) for x in _BLANK.split(text)) if len(p) > 10]
+    if len(parts) <= 2:
+        parts = [p for p in (x.strip(_SPACE) for x in text.split("\n")) if len(p) > 30]
+    if len(parts) <= 1 and len(text) > 500:
+        done, now, size = [], [], 0
+        for s in [s for s in _SENTENCE_GAP.split(text) if s and s[0] not in ".!?" and s[-1] in ".!?"] or [text]:
+            if size > enough:
+                done.append("".join(now))
+                now, size = [], 0
+            now.append(s)
+            size += len(s)
+        parts = [p for p in (x.strip(_SPACE) for x in [*done, "".join(now)]) if p]
+    return [_SPACES.sub(" ", p) if _ODD.search(p) else p for p in parts]
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para, text), para from 0; a document without paragraphs gives no row."""
     found = docs.select(F.col(id_col), F.posexplode(paragraph_array(F.col(text_col))).alias("para", "text"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunk import chunk
 from ..functions.text import speech_text
+from .paragraphs import paragraph_list
 
 #: Seconds a character takes before anything is measured.
 SECONDS_PER_CHAR = 1 / 15
@@ -46,26 +47,31 @@ def running_in_row(rows: DataFrame, key: str, texts: str, index: str) -> DataFra
 
 
 def segments(rows: DataFrame, key: str, paragraphs: str = "paragraphs", start_paragraph: int | None = None, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
-    """(key, carry, seg_idx, para, start, end, text, speech, pause_ms, chars, cum_chars) of rows that hold an array of structs (kind, text).
+    """(key, carry, seg_idx, para, start, end, text, speech, pause_ms, chars, cum_chars) of rows that hold an array of structs (kind, text), or a plain text, whose paragraphs are cut here.
 
     The paragraph reading starts with gets a short first segment; segments that say nothing are left out.  With `outer` a row
     without a segment gives one of nulls.  Order and running sums come from the row itself: no shuffle.
     """
     kept = [rows.schema[c] for c in (key, *carry)]
     names = [f.name for f in kept] + [x.split()[0].strip("`") for x in _SEGMENT]
+    plain = rows.schema[paragraphs].dataType.simpleString() == "string"
+
+    def held(value: object) -> list[tuple[str, str]]:
+        return [("text", t) for t in paragraph_list(value)] if plain else [(p["kind"], p["text"]) for p in value or ()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 owner, out = [], []
-                for i, held in enumerate(part.column(len(kept)).to_pylist()):
+                for i, value in enumerate(part.column(len(kept)).to_pylist()):
                     n = before = 0
-                    for para, p in enumerate(held or ()):
-                        for start, end, pause in chunk(p["text"], p["kind"], para == start_paragraph) if p["text"] else ():
-                            said = speech_text(p["text"][start:end])
+                    for para, (kind, text) in enumerate(held(value)):
+                        for start, end, pause in chunk(text, kind, para == start_paragraph) if text else ():
+                            shown = text[start:end]
+                            said = speech_text(shown)
                             if SAID.search(said):
-                                out.append((n, para, start, end, p["text"][start:end], said, pause, end - start, before))
+                                out.append((n, para, start, end, shown, said, pause, end - start, before))
                                 owner.append(i)
                                 n, before = n + 1, before + end - start
                     if outer and not n:

@@ -386,8 +386,8 @@ def plan_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.transform(paragraphs.paragraph_array(F.col("text")), lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).alias("paragraphs"))
-    return plan.segments(docs, "doc_id", start_paragraph=0).select("doc_id", "seg_idx", "para", "start", "end", "pause_ms", "chars", "cum_chars", F.sha2(F.col("speech").cast("binary"), 256).alias("speech_sha256"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return plan.segments(docs, "doc_id", "text", start_paragraph=0).select("doc_id", "seg_idx", "para", "start", "end", "pause_ms", "chars", "cum_chars", F.sha2(F.col("speech").cast("binary"), 256).alias("speech_sha256"))
 
 
 @query("""

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from textloom import registry
 from textloom.functions import chunk, normalize, text
 from textloom.operators import paragraphs, plan
 
@@ -70,3 +71,13 @@ def test_paragraphs_in_python_are_those_of_spark(spark):
     assert {i: list(p) for i, p in arrays.select("doc", "p").collect()} == {i: paragraphs.paragraph_list(t) for i, t in rows}
     structs = df.select("doc", F.transform(paragraphs.paragraph_array(F.col("text")), lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).alias("paragraphs"))
     assert sorted(map(tuple, plan.segments(df, "doc", "text", start_paragraph=0).collect())) == sorted(map(tuple, plan.segments(structs, "doc", start_paragraph=0).collect()))
+
+
+def test_plan_cover_deals_out_no_text(spark, tmp_path):
+    spark.createDataFrame([(i, f"Some text number {i} that is long enough to be read. " * 3) for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["plan_cover"](spark, str(tmp_path))
+    assert found.filter("numbered AND summed AND said").count() == 40
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    below = tree[tree.index("Window") :].split("\n")
+    project = next(line for line in below if "Project" in line)
+    assert "AS solid" in project and "AS said" in project and "speech" not in project.split("Project")[1].split("AS said")[1]

@@ -10,6 +10,7 @@ from textloom import registry
 def rows_and_twin(spark, folder, name, **tables):
     """Sorted rows of a query and of its twin over small tables."""
     twin = duckdb.connect()
+    twin.execute("SET TimeZone = 'UTC'")
     for table, df in tables.items():
         df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
         twin.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
@@ -22,3 +23,30 @@ def test_time_labels_of_nothing_and_below(spark, tmp_path):
     events = spark.createDataFrame(list(enumerate(values)), "event_id long, value double")
     ours, theirs = rows_and_twin(spark, tmp_path, "time_labels", events=events)
     assert ours == theirs
+
+
+def test_eviction_over_ranges_of_odd_rows(spark, tmp_path, monkeypatch):
+    """Many ranges, equal times, unknown times, kinds and sizes, sizes below zero; the sums are told by the twin."""
+    import random
+    from datetime import datetime, timedelta
+
+    from textloom.operators import cache
+
+    monkeypatch.setattr(cache, "RANGE_ROWS", 50)
+    r = random.Random(3)
+    start = datetime(2024, 1, 3)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    some = [(i, None if r.random() < 0.02 else start + timedelta(minutes=r.choice((r.randrange(9000), 700, 4000))), i % 7, r.choice(("view", "click", "error", None)) if i % 50 == 0 else "view", r.choice((r.random() * 900, -40.0, None))) for i in range(3000)]
+    for n, rows in enumerate((some, [(*x[:4], x[4] and abs(x[4])) for x in some], [(i, start + timedelta(hours=60), 1, "view", 120.0) for i in range(2000)], some[:40], [])):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        ours, theirs = rows_and_twin(spark, folder, "cache_evict_all", events=spark.createDataFrame(rows, schema))
+        assert ours == theirs
+
+
+def test_eviction_does_not_sum_anew_for_each_row(spark, tmp_path):
+    events = spark.range(50).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("cache_evict", "cache_evict_all"):
+        plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "unboundedfollowing" not in plan.lower()

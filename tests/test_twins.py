@@ -50,3 +50,38 @@ def test_eviction_does_not_sum_anew_for_each_row(spark, tmp_path):
     for name in ("cache_evict", "cache_evict_all"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "Window" in plan and "unboundedfollowing" not in plan.lower()
+
+
+def scored(spark, tmp_path):
+    docs = [
+        (0, "a", "One small step, l'Été was Red. 'quoted' café"), (1, "a", "STEP"), (2, "a", "One small"), (3, "a", ""), (4, "a", "..."), (5, "a", None), (6, "b", "été"), (7, "b", "Ístanbul was fine DON’T don`t x2 'tis"), (8, "b", "red one"),
+        (9, "c", "nothing of it here at all"), (10, None, "One small step"), (11, "b", "one small step one small step for l'ete was red"),
+    ]
+    items = [(0, "One small step for"), (1, "step by step"), (3, "l’été was red"), (5, "istanbul was fine don't x2"), (6, "red one " * 30)]
+    documents = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    return dict(documents=documents, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+
+
+def test_extraction_score_counts_where_texts_lie(spark, tmp_path, monkeypatch):
+    from textloom.operators import evaluate
+
+    def refuse(*_):
+        raise AssertionError("documents were joined pair by pair")
+
+    with monkeypatch.context() as m:
+        m.setattr(evaluate, "found", refuse)
+        ours, theirs = rows_and_twin(spark, tmp_path, "extraction_score", **scored(spark, tmp_path))
+    assert ours == theirs
+    # a reference too large to be held is joined, with the same figures
+    monkeypatch.setattr(evaluate, "HELD", 3)
+    assert sorted((tuple(r) for r in registry.queries()["extraction_score"](spark, str(tmp_path)).collect()), key=repr) == ours
+
+
+def test_scores_of_pages_with_references_of_their_own(spark, monkeypatch):
+    from textloom.operators import evaluate
+
+    blocks = spark.createDataFrame([("a", 1, "text", "one two three four"), ("a", 2, "heading", "five"), ("b", 1, "text", "two three"), ("b", 2, "text", "one two three"), ("c", 1, "text", "one two three"), ("d", 1, "text", "one"), ("f", 1, "text", "İstanbul σας fine don't x2 iv")], "page string, block long, kind string, text string")
+    texts = spark.createDataFrame([("a", 7, "one two five three four"), ("b", 7, "one two three"), ("b", 8, "five"), ("c", 7, "three two one"), ("e", 1, "one two three"), ("c", 9, "two"), ("c", 10, None), ("f", 7, "İstanbul ΣΑΣ ﬁne don’t don`t x² Ⅳ"), ("f", 8, "ΣΑΣ Straße")], "page string, block long, text string")
+    reference = evaluate.tokenised(blocks, "page", "block", "kind")
+    want = sorted(map(tuple, evaluate.score(reference, evaluate.tokenised(texts, "page", "block"), "page", "block").collect()))
+    assert sorted(map(tuple, evaluate.score_texts(reference, texts, "page", "block").collect())) == want

@@ -261,14 +261,15 @@ SELECT u.page, u.block, avg(CASE WHEN x.g IS NULL THEN 0 ELSE 1 END) AS f FROM u
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tokenised items, as reference blocks of every source, and documents, as what was extracted; the sources are few, and their number bounds the product."""
     docs = texts(spark, sf_dir, "documents", "source", "doc_id", "text").withColumnsRenamed({"source": "page", "doc_id": "block"})
-    extracted = evaluate.tokenised(docs, "page", "block")
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "block").withColumn("kind", F.when(F.length("text") < 150, "heading").otherwise("text"))
-    return evaluate.tokenised(items, "block", "kind").join(extracted.select("page").distinct(), F.lit(True)), extracted
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("page")).distinct()
+    return evaluate.tokenised(items, "block", "kind").join(sources, F.lit(True)), docs
 
 
 @query(FOUND)
 def bigram_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.found(*_blocks(spark, sf_dir), "page", "block")
+    reference, docs = _blocks(spark, sf_dir)
+    return evaluate.found(reference, evaluate.tokenised(docs, "page", "block"), "page", "block")
 
 
 SCORE = rf"""
@@ -286,7 +287,7 @@ JOIN (SELECT page, CAST(sum(CASE WHEN f < 0.5 THEN n ELSE 0 END) AS BIGINT) AS j
 
 @query(SCORE)
 def extraction_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = evaluate.score(*_blocks(spark, sf_dir), "page", "block")
+    s = evaluate.score_texts(*_blocks(spark, sf_dir), "page", "block")
     return s.select("page", F.round("recall", 9).alias("recall"), F.round("h_recall", 9).alias("h_recall"), "htot", "junk", "out_chars", "gt_chars", "gt_blocks")
 
 
